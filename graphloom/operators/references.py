@@ -6,8 +6,7 @@ referenced rank is matched as of the run that starts at or before it, and lies b
 key is no parent. Two keys get one rank only if they are equal character by character.
 
 References are folded to distinct keys before they are shuffled, so a key that holds a third of all references is one
-row here. Suspect keys then meet their references again: hot ones (at most HOT_KEYS of them, by the pigeonhole
-principle) by broadcast, the others in a shuffled join.
+row here. Suspect keys then meet their references again in a join that takes hot keys aside.
 """
 
 from __future__ import annotations
@@ -17,13 +16,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import join_counted
 from graphloom.sources.tables import cut
 
-#: A hot key has at least 1/HOT_KEYS of all references to suspect keys, so there are at most so many hot keys.
-HOT_KEYS = 1000
-#: Keys with fewer references than this are never called hot.
-HOT_LEAST = 1000
-
 SUSPECTS = "ref_key string, reason string, valid_from timestamp, n_refs bigint"
 
 
@@ -120,17 +115,9 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     references = references.where(F.col("ref_key").isNotNull())
     ref_keys = references.groupBy(F.col("ref_key").alias("key")).agg(F.min("ref_time").alias("first_ref"), F.count(F.lit(1)).alias("n_refs"))
     suspects = cut(suspect_keys(parents, ref_keys))
-    total = suspects.agg(F.sum("n_refs")).first()[0] or 0
-    is_hot = F.col("n_refs") >= max(total / HOT_KEYS, HOT_LEAST)
     in_order = (F.col("reason") == "late") & ~F.coalesce(F.col("valid_from") > F.col("ref_time"), F.lit(False))
-    suspects = suspects.withColumn("is_hot", is_hot)
-    hot, cold = (suspects.where(c).select(F.col("ref_key"), F.col("reason"), F.col("valid_from")) for c in (F.col("is_hot"), ~F.col("is_hot")))
-    if hot.isEmpty():
-        met = references.join(cold, "ref_key")
-    else:
-        hot = F.broadcast(hot)
-        met = references.join(hot, "ref_key").unionByName(references.join(hot.select("ref_key"), "ref_key", "left_anti").join(cold, "ref_key"))
-    return met.where(~in_order).drop("valid_from")
+    met = join_counted(references, suspects, ["ref_key"], "n_refs")
+    return met.where(~in_order).drop("valid_from", "n_refs")
 
 
 def _earliest(name: str):
