@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.llm.similar import most_similar, similar_pairs
 from graphloom.llm.split import split_oversized
 from graphloom.sources import read
 
@@ -16,10 +18,26 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(read(spark, sf, "code_chunk"), "text", ["entity_id", "chunk_index"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_pairs(read(spark, sf, "code_embedding"), "id", "vector", "model_id", dim=64, k=5, least=0.9)
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    near = most_similar(read(spark, sf, "code_embedding"), "id", "vector", "model_id", dim=64, k=5)
+    return near.select(F.col("model").alias("model_id"), "id", "neighbour_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours)}
 
 _SOLID = "regexp_replace(text, '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')"
 
+_NEAR = """WITH v AS (SELECT model_id, id, any_value(CAST(vector AS DOUBLE[])) AS x FROM code_embedding
+  WHERE len(vector) = 64 AND id IS NOT NULL AND model_id IS NOT NULL AND len(list_filter(vector, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0 GROUP BY ALL),
+ p AS (SELECT a.model_id, a.id, b.id AS neighbour_id, CASE WHEN a.x = b.x THEN 1.0 ELSE list_cosine_similarity(a.x, b.x) END AS s FROM v a JOIN v b ON a.model_id = b.model_id AND a.id <> b.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY model_id, id ORDER BY s DESC, neighbour_id) AS rank FROM p)"""
+
 ORACLES = {
     "p1_found": f"SELECT DISTINCT entity_id, chunk_index FROM code_chunk WHERE length({_SOLID}) > 1500",
+    "p4_found": f"{_NEAR} SELECT DISTINCT least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM r WHERE rank <= 5 AND s >= 0.9",
+    "p4_neighbours": f"{_NEAR} SELECT model_id, id, neighbour_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS similarity FROM r WHERE rank <= 5",
 }
