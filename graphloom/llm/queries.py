@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.leaks import leaked_items, matched_windows, reparameterised
 from graphloom.llm.similar import most_similar, similar_pairs
 from graphloom.llm.split import split_oversized
 from graphloom.sources import read
@@ -27,7 +28,19 @@ def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("model").alias("model_id"), "id", "neighbour_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours)}
+def _eval_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return matched_windows(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(_eval_windows(spark, sf), "doc_id", "item_id")
+
+
+def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return reparameterised(_eval_windows(spark, sf), "doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p7_found, p7_templates)}
 
 _SOLID = "regexp_replace(text, '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')"
 
