@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.abuse import THRESHOLD, fit_abuse, score_abuse
 from graphloom.llm.leaks import leaked_items, matched_windows, reparameterised
+from graphloom.llm.mix import mix_sources, normal_source, reached_shares
 from graphloom.llm.similar import most_similar, similar_pairs
 from graphloom.llm.split import split_oversized
 from graphloom.sources import read
@@ -40,7 +42,38 @@ def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
     return reparameterised(_eval_windows(spark, sf), "doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p7_found, p7_templates)}
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(read(spark, sf, "documents"), "doc_id", "text", "source", read(spark, sf, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return reached_shares(p8_mix(spark, sf), read(spark, sf, "documents"), "source", read(spark, sf, "mix_target"))
+
+
+def p8_shares_exact(spark: SparkSession, sf: str) -> DataFrame:
+    docs, targets = read(spark, sf, "documents"), read(spark, sf, "mix_target")
+    return reached_shares(mix_sources(docs, "doc_id", "text", "source", targets, shortfall="shrink"), docs, "source", targets)
+
+
+def _scores(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    docs = read(spark, sf, "documents").withColumn("source", normal_source(F.col("source")))
+    return score_abuse(docs, "doc_id", "text", fit_abuse(docs, "doc_id", "text", read(spark, sf, "safety_label"), "is_abusive"), keep)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf)
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _scores(spark, sf, ("source",))
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when(F.col("score") >= THRESHOLD, 1)).alias("n_abusive"), F.avg((F.col("score") >= THRESHOLD).cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_neighbours, p7_found, p7_templates, p8_mix, p8_shares, p8_shares_exact, p9_found, p9_scores, p9_rates)}
 
 _SOLID = "regexp_replace(text, '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')"
 
