@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.sample import bounded_sample
 from graphloom.operators.skew import join_counted
 from graphloom.sources import cut
 
@@ -84,11 +85,11 @@ def _matrix(column, dim: int):
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def _fit(reps: DataFrame, dim: int) -> tuple[list, dict]:
+def _fit(reps: DataFrame, dim: int, total: int) -> tuple[list, dict]:
     """Projections, and by model the centre and spread in each of them, from a bounded sample."""
     import numpy as np
 
-    sample = reps.select("model", "vec", "rid").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).collect()
+    sample = bounded_sample(reps.select("model", "vec", "rid"), "rid", SAMPLE, total).collect()
     random = np.random.default_rng(SEED)
     dims = min(DIMS, dim)
     bases = [(np.linalg.qr(random.standard_normal((dim, dims)))[0].astype(np.float32), random.uniform(-0.5, 0.5, dims)) for _ in range(ORDERINGS)]
@@ -226,7 +227,7 @@ def most_similar(df: DataFrame, id_col: str, vector: str, model: str, dim: int,
     total = reps.count()
     if not total:
         return df.sparkSession.createDataFrame([], "model string, id string, neighbour_id string, rank int, similarity double")
-    bases, fitted = _fit(reps, dim)
+    bases, fitted = _fit(reps, dim, total)
     placed = reps.select("rid", "model", "vec").mapInArrow(_place(bases, fitted, dim), "ord int, model string, pos bigint, rid bigint, vec binary")
     parts = max(1, math.ceil(total * ORDERINGS / (WINDOW * WINDOWS_A_PART)))
     placed = placed.repartitionByRange(parts, "ord", "model", "pos", "rid").sortWithinPartitions("ord", "model", "pos", "rid")
