@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the namespace of vector point ids.
-POINT_NAMESPACE = "5f3e8a1c-0000-4000-8000-000000000000"
+POINT_NAMESPACE = "5f3e8a1c-9b6d-4e2a-8c7f-1a2b3c4d5e6f"
 
 
 def _prefixed(col: Column, width: int) -> Column:
