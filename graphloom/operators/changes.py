@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import clean_label
 
 UPSERT, DELETE = "UPSERT", "DELETE"
-OPERATIONS = {UPSERT: 0, DELETE: 1}
+#: Name of the folded struct, which no column of the data should have.
+CHANGE = "__change"
 
 
 def fold_changes(changes: DataFrame, key: str, sequence: list[str], operation: str, payload: list[str], base: DataFrame | None = None) -> DataFrame:
@@ -30,10 +31,10 @@ def fold_changes(changes: DataFrame, key: str, sequence: list[str], operation: s
     if base is not None:
         deleted = F.coalesce(F.col("is_deleted").cast("int"), F.lit(0)) if "is_deleted" in base.columns else F.lit(0)
         rows = rows.unionByName(base.where(F.col(key).isNotNull()).select(key, _change(sequence, deleted, payload)))
-    last = rows.groupBy(key).agg(F.max("change").alias("change"))
-    fields = [F.col("change")[f"s{i}"].alias(c) for i, c in enumerate(sequence)]
-    values = [F.col("change")[f"p{i}"].alias(c) for i, c in enumerate(payload)]
-    return last.select(key, *fields, (F.col("change")["op"] == 1).alias("is_deleted"), *values)
+    last = rows.groupBy(key).agg(F.max(CHANGE).alias(CHANGE))
+    fields = [F.col(CHANGE)[f"s{i}"].alias(c) for i, c in enumerate(sequence)]
+    values = [F.col(CHANGE)[f"p{i}"].alias(c) for i, c in enumerate(payload)]
+    return last.select(key, *fields, (F.col(CHANGE)["op"] == 1).alias("is_deleted"), *values)
 
 
 def _change(sequence: list[str], rank: Column, payload: list[str]) -> Column:
@@ -41,7 +42,7 @@ def _change(sequence: list[str], rank: Column, payload: list[str]) -> Column:
         *(F.col(c).alias(f"s{i}") for i, c in enumerate(sequence)),
         rank.cast("int").alias("op"),
         *(F.col(c).alias(f"p{i}") for i, c in enumerate(payload)),
-    ).alias("change")
+    ).alias(CHANGE)
 
 
 def current_state(folded: DataFrame) -> DataFrame:

@@ -108,16 +108,16 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
 
     references: ref_id, ref_field, ref_key, ref_time and any further columns; a null key refers to nothing and is no
     case. parents: key, deleted, valid_from; repeated rows are folded (deleted if any row is, valid from the first
-    time; null is always). Keys compare exactly. Result: the columns of references and reason. A null ref_time is
-    never late. Repeated references come out as often as they came in.
+    time; null is always). Keys compare exactly. Result: the columns of references and reason, which replaces
+    a column of that name. A null ref_time is never late. Repeated references come out as often as they came in.
     """
     parents = parents.where(F.col("key").isNotNull()).groupBy("key").agg(F.max(F.coalesce("deleted", F.lit(False))).alias("deleted"), _earliest("valid_from").alias("valid_from"))
-    references = references.where(F.col("ref_key").isNotNull())
+    references = references.drop("reason", "__valid_from", "__n_refs").where(F.col("ref_key").isNotNull())
     ref_keys = references.groupBy(F.col("ref_key").alias("key")).agg(F.min("ref_time").alias("first_ref"), F.count(F.lit(1)).alias("n_refs"))
-    suspects = cut(suspect_keys(parents, ref_keys))
-    in_order = (F.col("reason") == "late") & ~F.coalesce(F.col("valid_from") > F.col("ref_time"), F.lit(False))
-    met = join_counted(references, suspects, ["ref_key"], "n_refs")
-    return met.where(~in_order).drop("valid_from", "n_refs")
+    suspects = cut(suspect_keys(parents, ref_keys)).withColumnsRenamed({"valid_from": "__valid_from", "n_refs": "__n_refs"})
+    in_order = (F.col("reason") == "late") & ~F.coalesce(F.col("__valid_from") > F.col("ref_time"), F.lit(False))
+    met = join_counted(references, suspects, ["ref_key"], "__n_refs")
+    return met.where(~in_order).drop("__valid_from", "__n_refs")
 
 
 def _earliest(name: str):
