@@ -164,18 +164,17 @@ def _features(batches: Iterator) -> Iterator:
 
 
 def fit_abuse(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, max_labels: int = MAX_LABELS) -> dict:
-    """The model: trees, and isotonic knots over margins. labels: doc_id and label (0, 1; null judgements are left out).
+    """The model: trees, and isotonic knots over margins. labels: doc_id and label; judgements other than 0 and 1 are left out.
 
     Contradicting judgements of a document make a soft target. Without judgements of both kinds the lexicon margin
     alone is used, uncalibrated.
     """
     import numpy as np
 
-    judged = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    judged = bounded_sample(judged, doc_id, max_labels, judged.count())
-    sample = docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(judged), doc_id)
-    kind = dict(docs.dtypes)[doc_id]
-    rows = sample.select(doc_id, "text", "y", "w").mapInArrow(_features, f"key {kind}, x array<double>, y double, w double").collect()
+    judged = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    judged = bounded_sample(judged, "key", max_labels, judged.count())
+    sample = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(judged), "key")
+    rows = sample.select("key", "text", "y", "w").mapInArrow(_features, f"key {dict(docs.dtypes)[doc_id]}, x array<double>, y double, w double").collect()
     rows = sorted(rows, key=lambda r: (str(r["key"]), r["x"]))[: 2 * max_labels]
     y = np.array([r["y"] for r in rows])
     if not len(rows) or y.max() < 0.5 or y.min() >= 0.5:

@@ -142,18 +142,18 @@ def matched_windows(docs: DataFrame, doc_id: str, doc_text: str, items: DataFram
     a, b = F.split("words", " "), F.split("item_words", " ")
     pairs = F.size(F.array_distinct(F.arrays_zip(a, b)))
     consistent = (pairs == F.size(F.array_distinct(a))) & (pairs == F.size(F.array_distinct(b)))
-    return met.select(F.col("key").alias(doc_id), F.col("item").alias(item_id), "len", F.col("hash").alias("template"), (F.col("words") == F.col("item_words")).alias("is_copy"), consistent.alias("is_consistent"))
+    return met.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "len", F.col("hash").alias("template"), (F.col("words") == F.col("item_words")).alias("is_copy"), consistent.alias("is_consistent"))
 
 
-def leaked_items(matched: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+def leaked_items(matched: DataFrame) -> DataFrame:
     """Distinct pairs of a document and an item of which it repeats width consecutive words, or all words of a shorter one."""
-    return matched.where("is_copy").select(doc_id, item_id).distinct()
+    return matched.where("is_copy").select("doc_id", "item_id").distinct()
 
 
-def reparameterised(matched: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+def reparameterised(matched: DataFrame) -> DataFrame:
     """doc_id, template, item_id, n_items: templates of items that a document fills with other values.
 
     item_id is the lowest of the n_items that share the template; pairs with each of them are not listed.
     """
-    other = matched.where("is_consistent").groupBy(doc_id, "template").agg(F.max("is_copy").alias("is_copy"), F.min(item_id).alias(item_id), F.count_distinct(item_id).alias("n_items"))
+    other = matched.where("is_consistent").groupBy("doc_id", "template").agg(F.max("is_copy").alias("is_copy"), F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
     return other.where(~F.col("is_copy")).drop("is_copy")

@@ -35,11 +35,11 @@ def _eval_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leaked_items(_eval_windows(spark, sf), "doc_id", "item_id")
+    return leaked_items(_eval_windows(spark, sf))
 
 
 def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return reparameterised(_eval_windows(spark, sf), "doc_id", "item_id")
+    return reparameterised(_eval_windows(spark, sf))
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,7 +56,7 @@ def split_oversized(df: DataFrame, text: str, keys: list[str], limit: int = LIMI
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
-    big = df.where(is_oversized(F.col(text), limit)).select(*keys, F.col(text).alias("whole")).distinct()
+    big = df.where(is_oversized(F.col(text), limit)).select(F.struct(*keys).alias("key"), F.col(text).alias("whole")).distinct()
     shape = F.regexp_replace("whole", f"[^{SPACE}]", "x")
     marks = F.regexp_replace(F.regexp_replace(shape, f"x{INNER}*{LINE_END}(?:{INNER}*{LINE_END})+{INNER}*", "b"), f"x{INNER}*{LINE_END}{INNER}*", "l")
     skeleton = F.regexp_replace(F.regexp_replace(marks, f"x{SPACE}+", "w"), f"^{SPACE}+", "")
@@ -76,7 +76,7 @@ def split_oversized(df: DataFrame, text: str, keys: list[str], limit: int = LIMI
             F.when(i == F.size("cuts") - 1, "end").when(c.endswith("b"), "block").when(c.endswith("l"), "line").when(c.endswith("w"), "word").otherwise("char").alias("boundary"),
         ),
     )
-    rows = found.select(*keys, "whole", F.explode(pieces).alias("p"))
+    rows = found.select("key", "whole", F.explode(pieces).alias("p"))
     piece = F.substring(F.col("whole"), F.col("p.piece_start") + 1, F.col("p.piece_end") - F.col("p.piece_start"))
-    out = rows.select(*keys, F.col("p.piece_index").alias("piece_index"), F.col("p.piece_start").alias("piece_start"), piece.alias("piece_text"), F.col("p.boundary").alias("boundary"))
+    out = rows.select("key.*", F.col("p.piece_index").alias("piece_index"), F.col("p.piece_start").alias("piece_start"), piece.alias("piece_text"), F.col("p.boundary").alias("boundary"))
     return out.withColumn("piece_size", solid_length(F.col("piece_text")))
