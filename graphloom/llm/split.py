@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 1500, 120
 SPACE = r"\p{IsWhite_Space}"
 #: Line ends as in Unicode; a carriage return with line feed is one.
-LINE_END = r"(?:\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}])"
+LINE_END = r"(?>\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}])"
 INNER = r"[\p{IsWhite_Space}&&[^\n\r\x0B\f\x{85}\x{2028}\x{2029}]]"
 
 
