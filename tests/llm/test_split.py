@@ -5,6 +5,7 @@ import regex
 from graphloom.llm.split import split_oversized
 
 WS = regex.compile(r"\p{White_Space}")
+NL = r"(?>\r\n|[\n\r\x0b\f\x85\u2028\u2029])"
 SCHEMA = "id int, text string, whole string, skeleton string, piece string"
 
 
@@ -26,7 +27,7 @@ def check(text, parts, limit, overlap):
         assert at == (max(0, end - overlap) if p["piece_index"] else 0)
         joined += t[end - at :]
         end = at + len(t)
-        tail = {"block": r"\n[^\S\n]*\n\s*$", "line": r"[\n\r\x0b\f\x85\u2028\u2029]", "word": r"\s"}.get(p["boundary"])
+            tail = {"block": rf"{NL}\s*?{NL}\s*$", "line": NL, "word": r"\s"}.get(p["boundary"])
         assert tail is None or regex.search(tail, t[-60:])
     assert joined == text
     assert parts[-1]["boundary"] == "end"
