@@ -134,37 +134,41 @@ def why_stop(p: Progress, limits: Limits) -> str | None:
 def run(query: str, tools: Tools, limits: Limits = Limits(), reason: Callable[[str], str] | None = None) -> Progress:
     """Structural questions follow PLAN for every seed that the budget allows, others search and then follow callees depth first."""
     p = Progress(query, list(PLAN) if classify(query) == "structural" else None)
-    while (p.stop := why_stop(p, limits)) is None or p.steps == 0 and p.stop != "plan_completed":
-        action = p.plan[p.place] if p.plan else "semantic_search" if p.steps == 0 else "get_callees"
-        target = None
-        if action != "semantic_search":
-            target = _next_target(p, action)
-            if target is None:  # a dead end counts as a step
-                p.steps, p.fresh, p.place = p.steps + 1, 0, p.place + 1
-                continue
-        found = tools.execute(action, query, target)
-        if target is not None:
-            p.visited.add(target)
-            p.done.add((action, target))
-        waiting = bool(p.plan) and action != "semantic_search" and any((action, s) not in p.done for s in p.seeds)
-        prompt = f"Domanda: {query}\nAzione corrente: {action}"
-        if reason is not None and found and (not p.plan or (action == p.plan[-1] and not waiting)):
-            reason(prompt)
-        known = {c.node_id for c in p.candidates} | p.visited
-        novel = [f for f in found if f.node_id not in known]
-        ids = [f.node_id for f in novel]
-        if action == "semantic_search":
-            p.seeds = _affordable(p, ids, limits) if p.plan else ids
-            ids = p.seeds
-        p.frontier += ids
-        p.candidates += novel
-        p.fresh = sum(f.impact >= limits.impact for f in novel)
-        p.tokens += estimate_tokens(prompt)
-        p.steps += 1
-        p.place += 0 if waiting else 1
+    while p.stop is None:
+        _step(p, tools, limits, reason)
+        p.stop = why_stop(p, limits)
     return p
 
 
+def _step(p: Progress, tools: Tools, limits: Limits, reason: Callable[[str], str] | None) -> None:
+    action = p.plan[p.place] if p.plan else "semantic_search" if p.steps == 0 else "get_callees"
+    target = None
+    if action != "semantic_search":
+        target = _next_target(p, action)
+        if target is None:  # a dead end counts as a step
+            p.steps, p.fresh, p.place = p.steps + 1, 0, p.place + 1
+            return
+    found = tools.execute(action, p.query, target)
+    if target is not None:
+        p.visited.add(target)
+        p.done.add((action, target))
+    waiting = bool(p.plan) and action != "semantic_search" and any((action, s) not in p.done for s in p.seeds)
+    prompt_text = f"Domanda: {p.query}\nAzione corrente: {action}"
+    if reason is not None and found and (not p.plan or (action == p.plan[-1] and not waiting)):
+        reason(prompt_text)
+    known = {c.node_id for c in p.candidates} | p.visited
+    novel = [f for f in found if f.node_id not in known]
+    ids = [f.node_id for f in novel]
+    if action == "semantic_search":
+        p.seeds = ids = _affordable(p, ids, limits) if p.plan else ids
+    p.frontier += ids
+    p.candidates += novel
+    p.fresh = sum(f.impact >= limits.impact for f in novel)
+    p.tokens += estimate_tokens(prompt_text)
+    p.steps += 1
+    p.place += 0 if waiting else 1
+
+
 def _next_target(p: Progress, action: str) -> str | None:
     if p.plan:
         return next((s for s in p.seeds if (action, s) not in p.done), None)
