@@ -24,8 +24,9 @@ WIDTH, LITERALS = 12, 4
 SHARED, LEXICON = 5, 20_000
 #: Up to so many distinct item windows, their hashes travel to the tasks (8 bytes each) and drop other windows early.
 SIEVE = 1_000_000
-#: The item windows are repeated so often in the join, to spread a window that a third of the documents contain.
-SALTS = 16
+#: Up to so many item windows are broadcast to the join (about 200 bytes each); more are repeated SALTS times in a shuffled
+#: join, to spread a window that a third of the documents contain.
+BROADCAST, SALTS = 50_000, 16
 
 #: Units of measure, in the singular, the plural and abbreviated.
 UNITS = ("ns us ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years "
@@ -136,9 +137,13 @@ def matched_windows(docs: DataFrame, doc_id: str, doc_text: str, items: DataFram
         lengths, sieve = [], None
     found = docs.select(F.col(doc_id).alias("key"), F.col(doc_text).alias("text")).where(F.length("text") > 0)
     found = found.mapInArrow(_windows(lexicon, width, sorted(lengths), sieve), f"key {kind}, len int, hash bigint, words string")
-    found = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    own = own.select(F.col("key").alias("item"), "len", "hash", F.col("words").alias("item_words"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    met = found.join(own, ["len", "hash", "salt"])
+    own = own.select(F.col("key").alias("item"), "len", "hash", F.col("words").alias("item_words"))
+    if own.count() <= BROADCAST:
+        met = found.join(F.broadcast(own), ["len", "hash"])
+    else:
+        salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+        found = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+        met = found.join(own.select("*", salts).hint("merge"), ["len", "hash", "salt"])
     a, b = F.split("words", " "), F.split("item_words", " ")
     pairs = F.size(F.array_distinct(F.arrays_zip(a, b)))
     consistent = (pairs == F.size(F.array_distinct(a))) & (pairs == F.size(F.array_distinct(b)))

@@ -1,5 +1,6 @@
 import random
 
+from graphloom.llm import leaks
 from graphloom.llm.leaks import leaked_items, matched_windows, reparameterised
 from graphloom.llm.words import word_finder
 
@@ -50,13 +51,15 @@ def corpus(seed):
     return docs + [(900, None), (901, ""), (902, "  \n "), (0, docs[0][1])], items + [(99, None), (98, ""), (97, "..."), (1, items[1][1])]
 
 
-def test_copies_equal_brute_force(spark, rows):
+def test_copies_equal_brute_force(spark, rows, monkeypatch):
     for seed in range(2):
         docs, items = corpus(seed)
         want = sorted(brute(docs, items), key=repr)
         assert len(want) > 20
         assert rows(leaked_items(match(spark, docs, items))) == want
         assert rows(leaked_items(match(spark, docs, items, sieve_limit=0))) == want  # without the sieve
+    monkeypatch.setattr(leaks, "BROADCAST", 0)
+    assert rows(leaked_items(match(spark, docs, items))) == want  # by shuffle
 
 
 def test_reparameterised_texts(spark):
