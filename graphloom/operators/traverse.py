@@ -1,8 +1,9 @@
 """Traversal of the relation graph, one join per level.
 
 Frontier and visited sets are DataFrames, cut after every level so that plans stay flat and lost executors cost one
-level. Only counts come to the driver. A frontier is broadcast while it is small (FRONTIER rows), so that the edge
-table, filtered once, isn't shuffled for it; larger frontiers join by shuffle.
+level. Only counts come to the driver. A frontier is broadcast while it is small (FRONTIER rows), so a level is a scan
+of the relations without a shuffle of them; larger frontiers join by shuffle. Frontier nodes are known to be visible,
+so only what a level finds is checked against the visible nodes, not every relation.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FRONTIER else df
 
 
-def directed_edges(relations: DataFrame, nodes: DataFrame, types: list[str] | None, direction: str) -> DataFrame:
-    """here, there, rel_type: steps between nodes in the direction (forward, reverse or both) over relations of types (none: all)."""
+def steps(relations: DataFrame, types: list[str] | None, direction: str) -> DataFrame:
+    """here, there, rel_type: steps in the direction (forward, reverse or both) over relations of types (none: all)."""
     kept = relations.where(F.col("rel_type").isin(types)) if types else relations
-    kept = scoped_relations(kept.select("from_id", "to_id", "rel_type"), nodes)
     forward = kept.select(F.col("from_id").alias("here"), F.col("to_id").alias("there"), "rel_type")
     reverse = kept.select(F.col("to_id").alias("here"), F.col("from_id").alias("there"), "rel_type")
     if direction not in ("forward", "reverse", "both"):
@@ -38,29 +38,32 @@ def directed_edges(relations: DataFrame, nodes: DataFrame, types: list[str] | No
     return forward if direction == "forward" else reverse
 
 
-def levels(edges: DataFrame, start: DataFrame, max_depth: int, include_start: bool = False) -> DataFrame:
-    """id, hop: the least number of steps, 1 to max_depth, from any of start (column id).
+def directed_edges(relations: DataFrame, nodes: DataFrame, types: list[str] | None, direction: str) -> DataFrame:
+    """The steps of the subgraph that nodes induce, for algorithms that go over all of it."""
+    return steps(scoped_relations(relations.select("from_id", "to_id", "rel_type"), nodes), types, direction)
+
+
+def levels(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int, include_start: bool = False) -> DataFrame:
+    """id, hop: the least number of steps, 1 to max_depth, from any of start (column id) through nodes alone.
 
-    With include_start a start that is met again (on a cycle) is listed with its hop, otherwise starts are left out.
+    start must be among nodes. With include_start a start that is met again (on a cycle) is listed with its hop,
+    otherwise starts are left out.
     """
     if max_depth < 1:
         raise ValueError("max_depth must be at least 1")
     frontier = cut(start.select("id").distinct())
-    seen = frontier.select("id", F.lit(0).alias("hop"))
-    found = None
+    known = None if include_start else frontier
+    found, rows = None, frontier.count()
     for hop in range(1, max_depth + 1):
-        rows = frontier.count()
         if not rows:
             break
-        step = edges.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").select(F.col("there").alias("id")).distinct()
-        known = seen if found is None or not include_start else found
-        if include_start and found is None:
-            frontier = cut(step)
-        else:
-            frontier = cut(step.join(known.select("id"), "id", "left_anti"))
+        met = edges.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").select(F.col("there").alias("id")).distinct()
+        met = cut(met if known is None else met.join(known, "id", "left_anti"))
+        frontier = cut(nodes.select("id").join(_small(met, met.count()), "id").distinct())
+        rows = frontier.count()
+        known = frontier if known is None else known.unionByName(frontier)
         level = frontier.select("id", F.lit(hop).alias("hop"))
         found = level if found is None else found.unionByName(level)
-        seen = seen.unionByName(level)
     return found if found is not None else frontier.select("id", F.lit(0).alias("hop")).limit(0)
 
 
@@ -71,8 +74,8 @@ def reach_reverse(nodes: DataFrame, relations: DataFrame, entry: str, max_depth:
     the nodes between. The entry itself is listed if a cycle leads back to it. Ties of hop are ranked by id.
     """
     start = nodes.where(F.col("id") == entry)
-    found = levels(directed_edges(relations, nodes, types, "reverse"), start, max_depth, include_start=True)
-    kept = nodes.select("id", "domain", "name", "repo").join(found, "id")
+    found = levels(steps(relations, types, "reverse"), nodes, start, max_depth, include_start=True)
+    kept = nodes.select("id", "domain", "name", "repo").join(_small(found, found.count()), "id")
     for name, value in (("domain", domain), ("repo", repo)):
         if value is not None:
             kept = kept.where(F.col(name) == value)
@@ -95,7 +98,7 @@ def impact_levels(nodes: DataFrame, relations: DataFrame, entry: str, max_depth:
     for name, value in (("domain", domain), ("repo", repo)):
         if value is not None:
             allowed = allowed.where(F.col(name) == value)
-    edges = directed_edges(relations, nodes, TRAVERSED, "reverse")
+    edges = steps(relations, TRAVERSED, "reverse")
     frontier = cut(nodes.where(F.col("id") == entry).select("id").distinct())
     visited = frontier.unionByName(frontier.sparkSession.createDataFrame([(entry,)], "id string")).distinct()
     explored = 0
@@ -104,7 +107,8 @@ def impact_levels(nodes: DataFrame, relations: DataFrame, entry: str, max_depth:
         if not known:
             break
         step = edges.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").groupBy(F.col("there").alias("id")).agg(F.min("rel_type").alias("edge_type"))
-        new = allowed.select("id", "domain").join(step, "id").join(visited.select("id"), "id", "left_anti")
+        step = cut(step.join(visited.select("id"), "id", "left_anti"))
+        new = allowed.select("id", "domain").join(_small(step, step.count()), "id")
         room = max_nodes - explored
         new = cut(new.orderBy("id").limit(room + 1))
         count = new.count()
@@ -153,9 +157,9 @@ def neighbors(nodes: DataFrame, relations: DataFrame, entry: str, types: list[st
     traversed_types: the sorted types of the edges by which any shortest walk enters the node. Ordered by id, at most
     limit nodes.
     """
-    edges = directed_edges(relations, nodes, types, direction)
+    edges = steps(relations, types, direction)
     start = nodes.where(F.col("id") == entry)
-    found = levels(edges, start, depth)
+    found = levels(edges, nodes, start, depth)
     places = found.unionByName(start.select("id", F.lit(0).alias("hop")).distinct())
     last = edges.join(places.select(F.col("id").alias("here"), F.col("hop").alias("hop_here")), "here").join(found.select(F.col("id").alias("there"), "hop"), "there").where("hop_here = hop - 1")
     by = last.groupBy(F.col("there").alias("id"), "hop").agg(F.array_join(F.array_sort(F.collect_set("rel_type")), ",").alias("traversed_types"))
@@ -173,12 +177,13 @@ def relations_exist(nodes: DataFrame, relations: DataFrame, claims: DataFrame, m
     A claim holds if edges of its type lead from source to target in at most min(depth, max_depth) steps through nodes
     the caller may see. All claims advance together, one join a level.
     """
-    edges = directed_edges(relations, nodes, None, "forward").distinct()
+    edges = steps(relations, None, "forward")
     at = cut(claims.join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("claim_id", "target_id", "edge_type", F.least("depth", F.lit(max_depth)).alias("depth"), F.col("source_id").alias("id")))
     seen, hits = at.select("claim_id", "id"), None
     for hop in range(1, max_depth + 1):
         step = at.where(F.col("depth") >= hop).join(edges, (F.col("id") == F.col("here")) & (F.col("edge_type") == F.col("rel_type"))).select("claim_id", "target_id", "edge_type", "depth", F.col("there").alias("id")).distinct()
-        step = cut(step.join(seen.distinct().withColumn("old", F.lit(True)), ["claim_id", "id"], "left").where("old IS NULL OR id = target_id").select(*at.columns))
+        step = step.join(nodes.select("id"), "id", "left_semi").join(seen.distinct().withColumn("old", F.lit(True)), ["claim_id", "id"], "left")
+        step = cut(step.where("old IS NULL OR id = target_id").select(*at.columns))
         hit = step.where("id = target_id").select("claim_id")
         hits = hit if hits is None else hits.unionByName(hit)
         at = step.where("id <> target_id")
@@ -191,7 +196,7 @@ def relations_exist(nodes: DataFrame, relations: DataFrame, claims: DataFrame, m
 def authorised_projection(visible: DataFrame, relations: DataFrame, root: str, max_depth: int = 16) -> DataFrame:
     """id, hop: what the root contains, through visible ancestors alone; the root with hop 0, if it is visible."""
     start = visible.where(F.col("id") == root)
-    below = levels(directed_edges(relations, visible, ["CONTAINS"], "forward"), start, max_depth)
+    below = levels(steps(relations, ["CONTAINS"], "forward"), visible, start, max_depth)
     return start.select("id", F.lit(0).alias("hop")).distinct().unionByName(below)
 
 
