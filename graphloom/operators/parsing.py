@@ -315,18 +315,22 @@ def syntax_ok(language: str, source: str) -> bool:
     return not open_
 
 
-def chunk_tree(source: str, start: int, end: int, budget: int = 1500) -> list[tuple[str, int]]:
+#: How deep chunks are split; what is nested deeper stays whole.
+MAX_NESTING = 40
+
+
+def chunk_tree(source: str, start: int, end: int, budget: int = 1500, nesting: int = 0) -> list[tuple[str, int]]:
     """(text, size) of the chunks of source[start:end]; size counts characters that are no white space.
 
-    Whole if it fits; otherwise the statements of its bracketed parts, small neighbours merged as long as their sizes
-    together fit, large ones split in turn. What can't be split may exceed the budget.
+    Whole if it fits; otherwise its statements, or those within its largest braces, small neighbours merged as long as
+    their sizes together fit, large ones split in turn. What can't be split may exceed the budget.
     """
     solid = lambda a, b: sum(1 for c in source[a:b] if not c.isspace())
     if budget < 1:
         raise ValueError("budget must be positive")
     if solid(start, end) <= budget:
         return [(source[start:end], solid(start, end))]
-    pieces = _children(source, start, end)
+    pieces = _children(source, start, end) if nesting < MAX_NESTING else []
     if len(pieces) < 2:
         return [(source[start:end], solid(start, end))]
     out: list[tuple[str, int]] = []
@@ -337,7 +341,7 @@ def chunk_tree(source: str, start: int, end: int, budget: int = 1500) -> list[tu
             if run:
                 out.append((source[run[0] : run[1]], run[2]))
                 run = None
-            out += chunk_tree(source, a, b, budget)
+            out += chunk_tree(source, a, b, budget, nesting + 1)
         elif run and run[2] + n <= budget:
             run = (run[0], b, run[2] + n)
         else:
@@ -350,20 +354,23 @@ def chunk_tree(source: str, start: int, end: int, budget: int = 1500) -> list[tu
 
 
 def _children(source: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The node's parts: what is before its last outer brace, the lines within it, and what follows."""
+    """The statements of the span; of a single one, what is before its largest braces, the statements in them, and the rest."""
     ts = tokens(source[start:end])
-    tops, i = [], 0
+    lines = _lines(ts, source, start)
+    if len(lines) > 1:
+        return lines
+    best, i = None, 0
     while i < len(ts):
         if ts[i].text == "{" and ts[i].kind == "sign":
             close = _match(ts, i)
-            tops.append((i, close))
+            if ts[close].text == "}" and close > i and (best is None or close - i > best[1] - best[0]):
+                best = (i, close)
             i = close
         i += 1
-    if not tops:
-        return _lines(ts, source, start)
-    a, b = tops[-1]
-    inner = _lines(ts[a + 1 : b], source, start)
-    return [(start + ts[0].start, start + ts[a].end), *inner, (start + ts[b].start, start + ts[-1].end)]
+    if best is None:
+        return lines
+    a, b = best
+    return [(start + ts[0].start, start + ts[a].end), *_lines(ts[a + 1 : b], source, start), (start + ts[b].start, start + ts[-1].end)]
 
 
 def _lines(ts: list[Token], source: str, start: int) -> list[tuple[int, int]]:

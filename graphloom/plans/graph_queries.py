@@ -108,7 +108,8 @@ def scoped_ids(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("id", "parser_id", scoped_node_id(F.col("tenant_id"), F.col("repo"), F.col("parser_id")).alias("node_id"), cache_key(F.col("id"), F.col("ast_hash"), F.lit("v1"), F.col("acl_group")).alias("cache_key"), command_fingerprint([F.col("tenant_id"), F.col("repo"), F.col("parser_id")]).alias("fingerprint"))
 
 
-@query()
+@query("""WITH h AS (SELECT DISTINCT id, sha1(unhex('5f3e8a1c9b6d4e2a8c7f1a2b3c4d5e6f') || id::BLOB) AS h FROM code_embedding)
+ SELECT id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || format('{:x}', (('0x' || substring(h, 17, 1))::INT & 3) | 8) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id FROM h""")
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "code_embedding").select("id", point_id(F.col("id")).alias("point_id")).distinct()
 

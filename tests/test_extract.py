@@ -92,6 +92,9 @@ def test_chunks_cover_the_entity_and_merge_small_neighbours():
     assert "".join("".join(t.split()) for t, _ in parts) == "".join(source.split())
     assert all(a[1] + b[1] > 100 for a, b in zip(parts, parts[1:]))
     assert parsing.chunk_tree("x" * 50, 0, 50, 10) == [("x" * 50, 50)]
+    for odd in ("{" * 500, "f(){" + "{a b c}" * 300, "a{" * 300 + "}" * 300, "x {\n" + "y { z }\n" * 200 + "} {", "}" * 100 + "{"):
+        parts = parsing.chunk_tree(odd, 0, len(odd), 10)
+        assert "".join("".join(t.split()) for t, _ in parts) == "".join(odd.split())
     with pytest.raises(ValueError):
         parsing.chunk_tree("x", 0, 1, 0)
 
