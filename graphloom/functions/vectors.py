@@ -12,8 +12,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null where a side is null, of another length or without length."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
+    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
 def literal_vector(values: list[float]) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.traverse import directed_edges, impact_levels
+from graphloom.schema import TRAVERSED
 from graphloom.sources.tables import cut
 
 # Rounds and damping of PageRank, weights of the impact score.
@@ -222,3 +224,25 @@ def fenced_write(scores: DataFrame, nodes: DataFrame, partition: dict, generatio
     if not gone.isEmpty():
         raise StaleGeneration("nodes left the partition")
     return scores.select("node_id", *(F.lit(partition[n]).alias(n) for n in ("tenant_id", "repo", "acl_group")), F.lit(generation).cast("bigint").alias("generation"), "impact_score")
+
+
+def impact_job(nodes: DataFrame, relations: DataFrame, entry: str, partition: dict, partitions: DataFrame, depth: int = 4, max_nodes: int = 100_000, samples: int = 0) -> DataFrame:
+    """The rows to write for the dependents of the entry within one partition, with community; StaleGeneration if it moved on.
+
+    The generation is read first, then dependents are discovered level by level, measured on the reversed subgraph that
+    they and the entry induce, combined, and fenced by that generation.
+    """
+    match = F.lit(True)
+    for name in ("tenant_id", "repo", "acl_group"):
+        match = match & (F.col(name) == partition[name])
+    generation = partitions.where(match).agg(F.max("generation")).first()[0]
+    seen = nodes.where(match)
+    found = None
+    for level, _ in impact_levels(seen, relations, entry, depth, max_nodes):
+        rows = level.select("node_id", "hop", "edge_type")
+        found = rows if found is None else found.unionByName(rows)
+    members = seen.join(found.select(F.col("node_id").alias("id")), "id", "left_semi").select("id").unionByName(seen.where(F.col("id") == entry).select("id"))
+    edges = cut(directed_edges(relations, members, TRAVERSED, "reverse").select(F.col("here").alias("src"), F.col("there").alias("dst")))
+    scores = impact_scores(found, personalised_pagerank(edges, entry), betweenness(edges, samples), entry)
+    written = fenced_write(scores, nodes, partition, generation, partitions)
+    return written.join(communities(edges).withColumnRenamed("id", "node_id"), "node_id", "left")

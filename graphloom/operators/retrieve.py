@@ -28,11 +28,13 @@ def vector_search(points: DataFrame, query: list[float], domain: str | None = No
     points: point_id, node_id (null: the point's own id), domain (null: code), vector. Points without usable vector are
     left out. Filters come before the top-k, which is kept per task and merged.
     """
-    rows = points.select(F.coalesce("node_id", F.col("point_id").cast("string")).alias("node_id"), F.coalesce("domain", F.lit("code")).alias("domain"), "point_id", cosine(F.col("vector"), literal_vector(query)).alias("vector_score"))
-    rows = rows.where(F.col("vector_score").isNotNull() & ~F.isnan("vector_score"))
+    rows = points.withColumn("domain", F.coalesce("domain", F.lit("code")))
     if domain is not None:
         rows = rows.where(F.col("domain") == domain)
-    top = rows.orderBy(F.desc("vector_score"), "point_id").limit(limit)
+    score = F.nanvl(cosine(F.col("vector"), literal_vector(query)), F.lit(None).cast("double"))
+    rows = rows.select(F.coalesce("node_id", F.col("point_id").cast("string")).alias("node_id"), "domain", "point_id", score.alias("vector_score"))
+    # nulls sort last, so that the filter can wait until after the cut and the score is computed once
+    top = rows.orderBy(F.desc("vector_score"), "point_id").limit(limit).where("vector_score IS NOT NULL")
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), "point_id")))  # over limit rows
 
 
@@ -152,6 +154,16 @@ def hybrid_search(nodes: DataFrame, relations: DataFrame, points: DataFrame, que
     return named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("combined_score"), "node_id")))
 
 
+def search(nodes: DataFrame, relations: DataFrame, points: DataFrame, text: str, query: list[float] | None, entry: str | None, top_k: int = TOP_K, **options) -> DataFrame:
+    """node_id, name, domain, rank, vector_leg_degraded: hybrid search from an entry, full-text search without one."""
+    if entry:
+        found = hybrid_search(nodes, relations, points, query, entry, top_k=top_k, **options)
+        degraded = found.agg(F.count("vector_rank")).first()[0] == 0
+        return found.select("node_id", "name", "domain", "rank", F.lit(degraded).alias("vector_leg_degraded"))
+    found = fulltext_search(nodes, text, min(top_k, GRAPH_LIMIT))
+    return found.select(F.col("id").alias("node_id"), "name", "domain", F.col("text_rank").alias("rank"), F.lit(True).alias("vector_leg_degraded"))
+
+
 def diagnostics(result: DataFrame) -> DataFrame:
     """n_graph, n_vector, n_results, vector_leg_degraded of a finished hybrid search: counted after the top-k."""
     has = lambda c: F.count(F.col(c))
