@@ -43,10 +43,10 @@ def feature_maker():
                 by_length.setdefault((s[0], len(s + extra)), []).append(s + extra)
     short = {s for s in stems if len(s) <= 4}
     look = str.maketrans(lexicon.LOOKALIKE)
-    spaced = re.compile(r"(?<![\w@])(?:\w[ .\-_]){2,}\w(?!\w)")
+    spaced = re.compile(r"(?<![\w@*$])(?:\w[ .\-_]){2,}\w(?![\w*$])")
     token = re.compile(r"[\w@$*!|’'.\-]*[\w*$]|[!?]+")
     sentence = re.compile(r"(?<=[.!?])\s+|\n+")
-    stretched = re.compile(r"(.)\1{2,}")
+    stretched = re.compile(r"([^\W\d_])\1{2,}")
     camel = re.compile(r"[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z]|[\w]-(?:api|lib|core|worker|sync)$|[/_]|\.\w+\.")
     memo: dict[str, tuple] = {}
 
@@ -83,6 +83,11 @@ def feature_maker():
             memo[low] = out
         return out
 
+    def join_spaced(m) -> str:
+        """Letters set apart as one word; an article before them stays a word of its own."""
+        word = re.sub(r"[ .\-_]", "", m.group())
+        return f"{word[0]} {word[1:]}" if not look_up(word)[0] and look_up(word[1:])[0] else word
+
     def make(text: str | None) -> list[float]:
         if not text:
             return [0.0] * len(FEATURES)
@@ -91,7 +96,7 @@ def feature_maker():
             text = unicodedata.normalize("NFKC", text)
             shown = "".join(c for c in text if unicodedata.category(c) != "Cf")
             hidden_signs, text = len(text) - len(shown), shown
-        joined = spaced.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), text)
+        joined = spaced.sub(join_spaced, text)
         top = dict.fromkeys(FEATURES, 0.0)
         worst, n_words, n_hits, n_second, n_sentences = -1.0, 0, 0, 0, 0
         for s in sentence.split(joined):

@@ -21,12 +21,12 @@ HARM = ("kill die rot choke neck hurt beat strangle alley gutter burn drown hang
 SEXUAL = ("nude naked porn horny sexy tits boobs cock dick penis pussy moan undress lick bang bend thigh legs slut fuck orgasm blowjob masturbat sex "
           "nuda nudo nude letto vestit scop tett sesso porc nackt bett titten fick geil brüste sexuell ausziehen schenkel").split()
 
-#: Groups of people.
+#: Groups of people, real ones and the invented peoples of the corpora.
 GROUP = ("women woman men girls immigrant migrant foreigner jew muslim christian black white gay lesbian trans disabled old elderly refugee gypsy people religion race "
-         "donne immigrat stranier ebre musulman negr gay disabil vecch quelli zingar rom frauen ausländer juden muslim moslem schwul behindert flüchtling alte zigeuner diese").split()
+         "quendish tolmar varnes ostrellian donne immigrat stranier ebre musulman negr gay disabil vecch quelli zingar rom frauen ausländer juden muslim moslem schwul behindert flüchtling alte zigeuner diese").split()
 
 #: Contempt for a group, and shutting it out.
-SHUN = ("vermin parasit subhuman chains problem starts ruin refuse keep stolen steal animals inferior filth infest deport wipe out banned trust belong hire "
+SHUN = ("vermin parasit disease breed problem typical complain chains subhuman ruin refuse keep stolen steal animals inferior filth infest deport wipe out banned trust belong hire "
         "besti parassit rimandat feccia fuori mai rubano assumere ungeziefer parasiten raus untermensch niemals einstell klauen nobody stand laugh rot learn "
         "nessun ridono keiner niemand lacht").split()
 
@@ -36,8 +36,8 @@ GREETING = {"hello", "hallo", "analysis", "also"}
 SECOND = set("you your yours yourself yourselves u ur ya tu ti te tuo tua tue tuoi vi voi vostro vostra sei du dich dir dein deine deinen deinem deiner euch euer eure ihr".split())
 SELF = set("i me my mine myself io mi mio mia ich mich mir mein meine meinen".split())
 THIRD = set("they them their those he him she her who loro lui lei quei questi sie ihnen ihre jene diese welcher che".split())
-#: Talk about words, tests and rules.
-META = set("word words term filter test tests mask masked masks moderator moderators report reported column label flag example sample parola termine filtro wort begriff process processo zombie orphans parent child master slave".split())
+#: Talk about words, tests and rules, and technical company that makes rude-looking words technical terms.
+META = set("word words term filter test tests mask masked masks moderator moderators report reported column label flag example sample parola termine filtro wort begriff process processo zombie orphans orfani parent child master slave pointer pointers tag nullable penetration ports connectors connector rack deletion build hack cache node nodes code".split())
 
 #: Letters and signs that stand for others.
 LOOKALIKE = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "!": "i", "|": "l", "а": "a", "е": "e", "о": "o", "р": "p",
