@@ -36,8 +36,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _seen(spark: SparkSession, sf: str) -> Graph:
-    graph = star_graph(spark, sf)
+def _seen(spark: SparkSession, sf: str, weighted: bool = False) -> Graph:
+    graph = star_graph(spark, sf, weighted)
     return Graph(scoped(graph.nodes, SCOPE), graph.relations)
 
 
@@ -61,7 +61,7 @@ def scoped_foreign_repo(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SEEN} SELECT from_id, to_id, rel_type, weight FROM e")
 def scoped_subgraph(spark: SparkSession, sf: str) -> DataFrame:
-    graph = _seen(spark, sf)
+    graph = _seen(spark, sf, weighted=True)
     return scoped_relations(graph.relations, graph.nodes).select("from_id", "to_id", "rel_type", "weight")
 
 

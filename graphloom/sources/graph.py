@@ -55,15 +55,18 @@ def star_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def star_relations(spark: SparkSession, sf: str) -> DataFrame:
+def star_relations(spark: SparkSession, sf: str, weighted: bool = True) -> DataFrame:
+    """Weighted: one row per relation, orders weighing their line items. Otherwise a relation may be repeated, which traversals don't mind, and nothing is shuffled."""
     line = read(spark, sf, "lineitem")
     one = F.lit(1).cast("bigint").alias("weight")
     edge = lambda df, a, b, kind, w=one: df.select(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("rel_type"), w)
     customer, orders, supplier, nation = (read(spark, sf, t) for t in ("customer", "orders", "supplier", "nation"))
-    calls = line.groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("weight"))
+    calls, uses = line.withColumn("weight", F.lit(1).cast("bigint")), line.select("l_partkey", "l_suppkey")
+    if weighted:
+        calls, uses = line.groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("weight")), uses.distinct()
     parts = [
         edge(calls, key_id("o", "l_orderkey"), key_id("p", "l_partkey"), "CALLS", F.col("weight")),
-        edge(line.select("l_partkey", "l_suppkey").distinct(), key_id("p", "l_partkey"), key_id("s", "l_suppkey"), "DEPENDS_ON"),
+        edge(uses, key_id("p", "l_partkey"), key_id("s", "l_suppkey"), "DEPENDS_ON"),
         edge(orders, key_id("c", "o_custkey"), key_id("o", "o_orderkey"), "IMPLEMENTS"),
         edge(orders, key_id("c", "o_custkey"), key_id("o", "o_orderkey"), "CONTAINS"),
         edge(supplier, key_id("s", "s_suppkey"), key_id("n", "s_nationkey"), "IMPORTS"),
@@ -76,8 +79,8 @@ def star_relations(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("id", F.concat_ws("|", "from_id", "rel_type", "to_id"))
 
 
-def star_graph(spark: SparkSession, sf: str) -> Graph:
-    return Graph(star_nodes(spark, sf), star_relations(spark, sf))
+def star_graph(spark: SparkSession, sf: str, weighted: bool = True) -> Graph:
+    return Graph(star_nodes(spark, sf), star_relations(spark, sf, weighted))
 
 
 def star_points(spark: SparkSession, sf: str) -> DataFrame:
