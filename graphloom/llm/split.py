@@ -57,8 +57,9 @@ def split_oversized(df: DataFrame, text: str, keys: list[str], limit: int = LIMI
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
     big = df.where(is_oversized(F.col(text), limit)).select(F.struct(*keys).alias("key"), F.col(text).alias("whole")).distinct()
+    # possessive quantifiers: on long runs of blank lines others would recurse
     shape = F.regexp_replace("whole", f"[^{SPACE}]", "x")
-    marks = F.regexp_replace(F.regexp_replace(shape, f"x{INNER}*{LINE_END}(?:{INNER}*{LINE_END})+{INNER}*", "b"), f"x{INNER}*{LINE_END}{INNER}*", "l")
+    marks = F.regexp_replace(F.regexp_replace(shape, f"x{INNER}*+{LINE_END}(?:{INNER}*+{LINE_END})++{INNER}*+", "b"), f"x{INNER}*+{LINE_END}{INNER}*+", "l")
     skeleton = F.regexp_replace(F.regexp_replace(marks, f"x{SPACE}+", "w"), f"^{SPACE}+", "")
     cuts = F.regexp_extract_all("skeleton", F.lit(cut_pattern(limit, overlap)), 0)
     solid = F.filter(F.transform(F.split("shape", ""), lambda c, i: F.when(c == "x", i)), lambda i: i.isNotNull())

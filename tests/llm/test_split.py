@@ -63,6 +63,12 @@ def test_very_long_text(spark):
     check(text, pieces(spark, [(1, text)], 1500, 120)[1], 1500, 120)
 
 
+def test_long_runs_of_space(spark):
+    for gap in ("\n" * 200_000, " \r\n" * 100_000, "\t" * 200_000):
+        text = "x" * 1600 + gap + "y" * 1600 + gap
+        check(text, pieces(spark, [(1, text)], 1500, 120)[1], 1500, 120)
+
+
 def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame([], SCHEMA), "text", ["id"], 10, 10)
