@@ -25,6 +25,10 @@ FEATURES = ("insult insult_near_you insult_plain sharp sharp_near_you harm harm_
             "density worst worst_code worst_meta worst_self worst_you worst_caps worst_exclaim worst_words worst_disguised disguised hidden exclaim caps hits_per_word second_rate sentences third").split()
 
 
+#: Signs at the edge of a word, signs that make no word, and the length from which a word isn't looked up in disguise.
+EDGE, SIGNS, LONGEST = "'’.-!|", "@'’.-!|", 60
+
+
 def feature_maker():
     """A function from text to the list of FEATURES. Made inside a task."""
     import re
@@ -44,7 +48,7 @@ def feature_maker():
     short = {s for s in stems if len(s) <= 4}
     look = str.maketrans(lexicon.LOOKALIKE)
     spaced = re.compile(r"(?<![\w@*$])(?:\w[ .\-_]){2,}\w(?![\w*$])")
-    token = re.compile(r"[\w@$*!|’'.\-]*[\w*$]|[!?]+")
+    token = re.compile(r"[\w@$*!|’'.\-]+")
     sentence = re.compile(r"(?<=[.!?])\s+|\n+")
     stretched = re.compile(r"([^\W\d_])\1{2,}")
     camel = re.compile(r"[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z]|[\w]-(?:api|lib|core|worker|sync)$|[/_]|\.\w+\.")
@@ -60,15 +64,19 @@ def feature_maker():
 
     def look_up(raw: str) -> tuple:
         """(kinds, disguised, is second person, is self, is third, is meta, is code)"""
+        raw = raw.rstrip(EDGE)
+        if raw in memo:
+            return memo[raw]
         low = raw.lower()
-        if low in memo:
-            return memo[low]
-        plain = low.strip("'’.-!|")
+        plain = low.strip(EDGE)
         found, hid = stem_kinds(plain), False
-        code = bool(camel.search(raw)) or plain.isdigit()
+        named = low[:1] == "@" and low[1:].isalnum()
+        code = not named and (bool(camel.search(raw)) or plain.isdigit())
         if not found and not plain.isalpha() or not found and not plain.isascii() or not found and stretched.search(plain):
             clear = stretched.sub(r"\1", plain.replace(".", "").replace("-", "") if "." in plain or "-" in plain else plain)
-            if "*" in clear:
+            if len(clear) > LONGEST:
+                pass
+            elif "*" in clear:
                 like = re.compile("".join("." if c == "*" else re.escape(c) for c in clear.translate(look)))
                 near = next((w for w in by_length.get((clear[0].translate(look), len(clear)), ()) if like.fullmatch(w)), None)
                 found = stem_kinds(near) if near else []
@@ -79,8 +87,8 @@ def feature_maker():
                 hid = "*" in plain
         mention = low[:1] == "@" and len(low) > 2 and not hid
         out = (found, hid, mention or plain in lexicon.SECOND, plain in lexicon.SELF, plain in lexicon.THIRD, plain in lexicon.META, code and not hid)
-        if len(memo) < 500_000:
-            memo[low] = out
+        if len(memo) < 500_000 and len(raw) <= LONGEST:
+            memo[raw] = out
         return out
 
     def join_spaced(m) -> str:
@@ -100,7 +108,7 @@ def feature_maker():
         top = dict.fromkeys(FEATURES, 0.0)
         worst, n_words, n_hits, n_second, n_sentences = -1.0, 0, 0, 0, 0
         for s in sentence.split(joined):
-            words = token.findall(s)
+            words = [w for w in token.findall(s) if w.strip(SIGNS)]
             if not words:
                 continue
             n_sentences += 1

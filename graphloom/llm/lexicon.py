@@ -14,7 +14,7 @@ SHARP = ("stupid useless pathetic worthless disgusting braindead brainless brain
 
 #: Harm done, wished or threatened, and being sent away.
 HARM = ("kill die rot choke neck hurt beat strangle alley gutter burn drown hang shoot stab crawl breathing wake deserve regret traffic jump "
-        "disappear vanish bleed grave hell crush punch watch miss hole mouth promise favour "
+        "lose hope fired disappear vanish bleed grave hell crush punch watch miss hole mouth promise favour "
         "sparisc crepa muori ammazz uccid guai pagherai vaffancul sopport verschwind krepier verreck stirb bereuen umbring ertragen leid").split()
 
 #: Sexual words.

@@ -24,6 +24,8 @@ def test_features_see_through_disguise():
     assert at("hello there, the class is fine", "lists") == 0
     assert at("I was an idiot to trust it", "worst_self") >= 1 and at("the filter test masks the word idiot", "worst_meta") >= 2
     assert make(None) == make("") == [0.0] * len(FEATURES)
+    for long in ("." * 300_000, "*" * 300_000, "a " * 300_000, "-!|" * 100_000, "x" * 300_000, "you " + "i" * 100_000 + "diot", "?!" * 100_000, "a@$" * 100_000):
+        assert len(make(long)) == len(FEATURES)
 
 
 def corpus():
