@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import canonical_uuid
 
 
+def _known(messages: DataFrame, id_col: str, position: str) -> DataFrame:
+    return messages.where(F.col(id_col).rlike(r"[^\p{IsWhite_Space}]") & F.col(position).isNotNull())
+
+
 def first_deliveries(messages: DataFrame, id_col: str, position: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """Columns message_id and first_position: of each message, the lowest position.
 
-    position must identify a delivery. Deliveries without id or without position are no messages and are left out;
+    position must identify a delivery. Deliveries with a null or blank id or without position are no messages and are left out;
     on equal positions the tie columns decide, nulls first. An empty input gives no rows.
     """
-    known = messages.where(F.col(id_col).isNotNull() & F.col(position).isNotNull())
+    known = _known(messages, id_col, position)
     order = F.struct(F.col(position), *(F.col(c) for c in tie))
     return known.groupBy(canonical_uuid(F.col(id_col)).alias("message_id")).agg(F.min_by(F.col(position), order).alias("first_position"))
 
@@ -32,6 +36,6 @@ def deduplicate(messages: DataFrame, id_col: str, position: str, tie: tuple[str,
 
 def surplus_deliveries(messages: DataFrame, id_col: str, position: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """The positions of all deliveries that repeat an earlier one; rows without id are neither kept nor surplus."""
-    known = messages.where(F.col(id_col).isNotNull() & F.col(position).isNotNull())
+    known = _known(messages, id_col, position)
     kept = first_deliveries(messages, id_col, position, tie)
     return known.select(position).join(kept.select(F.col("first_position").alias(position)), position, "left_anti")

@@ -15,7 +15,7 @@ def test_writings_of_one_uuid(spark, rows):
 
 
 def test_lowest_position_is_kept_and_the_rest_is_surplus(spark, rows):
-    df = spark.createDataFrame([(3, A, "x", "y", 1), (1, A.upper(), None, None, 2), (2, B, "x", "y", 3), (9, "{" + B + "}", "x", "y", None), (4, None, "x", "y", 4), (None, A, "x", "y", 5)], SCHEMA)
+    df = spark.createDataFrame([(3, A, "x", "y", 1), (1, A.upper(), None, None, 2), (2, B, "x", "y", 3), (9, "{" + B + "}", "x", "y", None), (4, None, "x", "y", 4), (5, " ", "x", "y", 4), (6, " ", "x", "y", 4), (None, A, "x", "y", 5)], SCHEMA)
     assert rows(deduplicate(df, "id", "seq"), "seq", "message_id") == [(1, None), (2, "x")]
     assert rows(surplus_deliveries(df, "id", "seq")) == [(3,), (9,)]
 
