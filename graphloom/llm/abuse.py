@@ -20,6 +20,8 @@ from graphloom.llm.sample import bounded_sample
 #: At most so many judged documents are used for fitting: those with the smallest hash of their id.
 MAX_LABELS = 20_000
 FOLDS, THRESHOLD = 5, 0.5
+#: One tree for so many judged documents, at least LEAST_TREES; calibration is trusted by half once so many are judged abusive.
+ROWS_A_TREE, LEAST_TREES, HALF_TRUST = 12, 4, 40
 
 FEATURES = ("insult insult_near_you insult_plain sharp sharp_near_you harm harm_near_you harm_plain sexual sexual_near_person sexual_plain group shun group_and_shun shun_near_person lists "
             "density worst worst_code worst_meta worst_self worst_you worst_caps worst_exclaim worst_words worst_disguised disguised hidden exclaim caps hits_per_word second_rate sentences third").split()
@@ -164,7 +166,7 @@ def feature_maker():
 
 def _base(x):
     """The margin to start from: the worst sentence by the lexicon alone."""
-    return 2.0 * (x[:, FEATURES.index("worst")] - 1.2).clip(-2, 1.5)
+    return 2.0 * (x[:, FEATURES.index("worst")] - 0.7).clip(-2, 1.5)
 
 
 def _features(batches: Iterator) -> Iterator:
@@ -179,8 +181,9 @@ def _features(batches: Iterator) -> Iterator:
 def fit_abuse(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, max_labels: int = MAX_LABELS) -> dict:
     """The model: trees, and isotonic knots over margins. labels: doc_id and label; judgements other than 0 and 1 are left out.
 
-    Contradicting judgements of a document make a soft target. Without judgements of both kinds the lexicon margin
-    alone is used, uncalibrated.
+    Contradicting judgements of a document make a soft target. The fewer judgements there are, the fewer trees are
+    grown and the less the calibration counts against the plain logistic of the margin. Without judgements of both
+    kinds the lexicon margin alone is used, uncalibrated.
     """
     import numpy as np
 
@@ -191,15 +194,17 @@ def fit_abuse(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label:
     rows = sorted(rows, key=lambda r: (str(r["key"]), r["x"]))[: 2 * max_labels]
     y = np.array([r["y"] for r in rows])
     if not len(rows) or y.max() < 0.5 or y.min() >= 0.5:
-        return {"trees": [], "knots": None}
+        return {"trees": [], "knots": None, "trust": 0.0}
     x, w = np.array([r["x"] for r in rows]), np.array([r["w"] for r in rows])
+    n_trees = int(min(boost.TREES, max(LEAST_TREES, len(y) // ROWS_A_TREE)))
     fold = np.arange(len(y)) % FOLDS
     held_out = np.empty(len(y))
     for k in range(FOLDS):
         at = fold == k
         if at.any() and (~at).any():
-            held_out[at] = boost.margins(boost.fit_trees(x[~at], y[~at], w[~at], _base(x[~at])), x[at], _base(x[at]))
-    return {"trees": boost.fit_trees(x, y, w, _base(x)), "knots": boost.isotonic(held_out, y, w)}
+            held_out[at] = boost.margins(boost.fit_trees(x[~at], y[~at], w[~at], _base(x[~at]), n_trees), x[at], _base(x[at]))
+    abusive = float((w * y).sum())
+    return {"trees": boost.fit_trees(x, y, w, _base(x), n_trees), "knots": boost.isotonic(held_out, y, w), "trust": abusive / (abusive + HALF_TRUST)}
 
 
 def score_abuse(docs: DataFrame, doc_id: str, text: str, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -216,7 +221,9 @@ def score_abuse(docs: DataFrame, doc_id: str, text: str, model: dict, keep: tupl
             texts = b.column(1).to_pylist()
             x = np.array([make(t) for t in texts])
             m = boost.margins(model["trees"], x, _base(x))
-            score = np.interp(m, *model["knots"]) if model["knots"] else 1 / (1 + np.exp(-m))
+            score = 1 / (1 + np.exp(-m))
+            if model["knots"]:
+                score += model["trust"] * (np.interp(m, *model["knots"]) - score)
             score[[not t for t in texts]] = 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *b.columns[2:]], names=[doc_id, "score", *keep])
 

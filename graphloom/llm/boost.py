@@ -12,7 +12,7 @@ def _bins(column: np.ndarray) -> np.ndarray:
     return edges
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, base: np.ndarray) -> list:
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, base: np.ndarray, trees_wanted: int = TREES) -> list:
     """Trees over rows x for soft targets y in [0, 1], starting from the margins base. A tree is nested tuples (feature, edge, left, right) or a leaf value."""
     edges = [_bins(x[:, f]) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
@@ -39,7 +39,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, base: np.ndarray
         left = binned[rows, best[1]] <= best[2]
         return (best[1], float(edges[best[1]][best[2]]), grow(rows[left], grad, hess, depth + 1), grow(rows[~left], grad, hess, depth + 1))
 
-    for _ in range(TREES):
+    for _ in range(trees_wanted):
         p = 1 / (1 + np.exp(-margin))
         tree = grow(np.arange(len(y)), weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6), 0)
         margin += _walk(tree, x)
