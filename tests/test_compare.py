@@ -2,7 +2,7 @@ import itertools
 import random
 from collections import Counter
 
-from graphloom.operators.compare import differences, minimum_cost_pairs
+from graphloom.operators.compare import differences, minimum_cost_pairs, minimum_cost_pairs_of_many
 
 SCHEMA = "net string, id int, s string, v string, extra string"
 
@@ -50,6 +50,30 @@ def test_a_key_with_many_variants_is_cut_into_blocks(spark):
     assert Counter(r.diff_field for r in found) == {"v": 10} and sum(r.n_rows for r in found) == 300
 
 
+def test_pairs_of_many_variants_have_least_cost():
+    r = random.Random(6)
+    cost = lambda pairs: sum(sum(x != y for x, y in zip(p, q)) * n for p, q, n in pairs)
+    for trial in range(120):
+        width, values = r.choice([1, 2, 3, 4]), r.choice(["xy", "wxyz", "abcdefghijklmn"])
+        make = lambda most: list(Counter(tuple(r.choice([*values, None]) for _ in range(width)) for _ in range(r.randrange(1, most))).items())  # noqa: E731,B023
+        a, b = make(r.choice([6, 60])), make(r.choice([6, 60]))
+        pairs, *rest = minimum_cost_pairs_of_many(a, b)
+        want, *want_rest = minimum_cost_pairs(a, b)
+        assert rest == want_rest and cost(pairs) == cost(want), trial
+        for side, given in ((0, a), (1, b)):
+            used = Counter()
+            for pair in pairs:
+                used[pair[side]] += pair[2]
+            assert all(used[v] <= n for v, n in given) and set(used) <= {v for v, _ in given}
+
+
+def test_the_best_partner_is_found_beyond_the_first_variants(spark, rows):
+    source = [("hot", 1, f"a{i:04}", f"x{i:04}") for i in range(40)]
+    assert rows(compare(spark, source, [("hot", 1, "a0039", "y")])) == sorted([("hot", 1, "v", "x0039", "y", 1), ("hot", 1, "extra_in_source", None, None, 39)], key=repr)
+    view = [("hot", 1, f"b{39 - i:04}", f"x{i:04}") for i in range(40)]  # the other field's order is turned round
+    assert Counter(r.diff_field for r in compare(spark, source, view).collect()) == {"s": 40}
+
+
 def test_empty_sides(spark, rows):
     assert rows(compare(spark, [], [])) == []
     assert rows(compare(spark, [("g", 1, "a", "b")], [])) == [("g", 1, "missing_in_view", None, None, 1)]
