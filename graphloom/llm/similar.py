@@ -1,6 +1,6 @@
 """The most similar vectors of every vector, through shifted space-filling curves.
 
-Vectors are projected ORDERINGS times, each time onto DIMS random orthonormal directions with a random shift, and
+Vectors are projected ORDERINGS times, or more often where their model is large, each time onto DIMS random orthonormal directions with a random shift, and
 placed on a Hilbert curve; each ordering is range-partitioned and sorted by curve position in Spark. In every sorted
 partition, windows of WINDOW consecutive vectors meet themselves and their neighbour windows by matrix product, and
 the best of each vector are reranked in double precision; the finds of all orderings are merged.
@@ -8,8 +8,8 @@ the best of each vector are reranked in double precision; the finds of all order
 Equal vectors are folded to one representative first and only expanded to the ids that can be among the k most
 similar, so a group of copies that holds a third of all rows neither fills the windows nor makes pairs of all copies.
 
-The index (centre and spread of the projections, per model) is fitted on the SAMPLE vectors with the smallest hash;
-every vector is indexed.
+The index (centre and spread of the projections, per model) is fitted on the SAMPLE vectors with the smallest hash (more
+where orderings of over a million vectors are chosen); every vector is indexed.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from graphloom.operators.skew import join_counted
 from graphloom.sources import cut
 
 ORDERINGS, DIMS, BITS, WINDOW, SAMPLE, SEED = 16, 8, 7, 1024, 8192, 20260
+#: ORDERINGS meet neighbours of at least the similarity CLOSE at any size. Where others are wanted, a model of more than
+#: three windows gets as many orderings as let up to PROBES of its vectors meet the part RECALL of their true neighbours.
+CLOSE, PROBES, RECALL = 0.9, 512, 0.93
 #: Windows of a range partition. Vectors at a partition's ends lack a neighbour window there, in that ordering only.
 WINDOWS_A_PART = 32
 
@@ -85,24 +88,102 @@ def _matrix(column, dim: int):
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def _fit(reps: DataFrame, dim: int, total: int) -> tuple[list, dict]:
-    """Projections, and by model the centre and spread in each of them, from a bounded sample."""
+def _fit(reps: DataFrame, dim: int, total: int, k: int, sizes: dict) -> tuple[list, dict, dict]:
+    """Projections; by model the centre and spread in each of them, from a sample; the orderings that models of sizes need."""
     import numpy as np
 
-    sample = bounded_sample(reps.select("model", "vec", "rid"), "rid", SAMPLE, total).collect()
+    # ranks among the sampled vectors must tell apart what windows do
+    wanted = max(SAMPLE, 8 * total // WINDOW) if sizes else SAMPLE
+    sample = bounded_sample(reps.select("model", "vec", "rid"), "rid", wanted, total).collect()
     random = np.random.default_rng(SEED)
     dims = min(DIMS, dim)
-    bases = [(np.linalg.qr(random.standard_normal((dim, dims)))[0].astype(np.float32), random.uniform(-0.5, 0.5, dims)) for _ in range(ORDERINGS)]
+    bases: list = []
     by_model: dict = {}
+    probes: dict = {}
     for r in sample:
         v = np.frombuffer(bytes(r["vec"]), dtype=np.float32)
         by_model.setdefault(r["model"], []).append(v / np.linalg.norm(v.astype(np.float64)))
         by_model.setdefault(None, []).append(by_model[r["model"]][-1])
-    return bases, {m: [((p := np.array(vs) @ basis).mean(0), p.std(0) + 1e-9) for basis, _ in bases] for m, vs in by_model.items() if m is None or len(vs) >= 64}
+        if r["model"] in sizes and len(probes.setdefault(r["model"], [])) < PROBES:
+            probes[r["model"]].append((r["rid"], by_model[r["model"]][-1]))
+    by_model = {m: np.array(vs) for m, vs in by_model.items() if m is None or len(vs) >= 64}
+    fitted: dict = {m: [] for m in by_model}
+
+    def extend(n: int):
+        while len(bases) < n:
+            bases.append((np.linalg.qr(random.standard_normal((dim, dims)))[0].astype(np.float32), random.uniform(-0.5, 0.5, dims)))
+            for m, vs in by_model.items():
+                p = vs @ bases[-1][0]
+                fitted[m].append((p.mean(0), p.std(0) + 1e-9))
+
+    extend(ORDERINGS)
+    orderings: dict = {}
+    true = _true_neighbours(reps, probes, dim, k) if probes else {}
+    for m, pairs in true.items():
+        own, n = by_model.get(m, by_model[None]), sizes[m]
+        a, b = (np.array(x) for x in zip(*pairs))
+        missed, o = np.ones(len(a)), 0
+        # at n / WINDOW orderings, comparing all pairs would cost less
+        while o < ORDERINGS or (1 - missed.mean() < RECALL and o < n / WINDOW):
+            extend(o + 1)
+            (basis, shift), (centre, spread) = bases[o], fitted.get(m, fitted[None])[o]
+            known, at, other = (_keys((x @ basis - centre) / spread, shift) for x in (own, a, b))
+            known.sort()
+            apart = np.abs(np.searchsorted(known, at) - np.searchsorted(known, other)) * (n / len(own))
+            missed *= 1 - np.clip(2 - apart / WINDOW, 0, 1)  # one window apart they meet, two they don't
+            o += 1
+        orderings[m] = o
+    return bases, fitted, orderings
+
+
+def _keys(scaled, shift):
+    """Curve positions of projections in units of their spread."""
+    import numpy as np
+
+    return hilbert_keys(np.clip((scaled + shift + 4) * ((1 << BITS) / 8), 0, (1 << BITS) - 1).astype(np.int64), BITS)
+
+
+def _true_neighbours(reps: DataFrame, probes: dict, dim: int, k: int) -> dict:
+    """By model the pairs (unit vector of a probe, that of one of its k nearest), from all vectors of the model."""
+    import numpy as np
 
+    sent = reps.sparkSession.sparkContext.broadcast({m: (np.array([r for r, _ in ps]), np.array([v for _, v in ps])) for m, ps in probes.items()})
 
-def _place(bases: list, fitted: dict, dim: int):
-    """Rows (rid, model, vec) to one row per ordering with the curve position."""
+    def nearest(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        best: dict = {}
+        for b in batches:
+            model = np.array(b.column(1).to_pylist(), dtype=object)
+            for m, (ids, units) in sent.value.items():
+                at = np.flatnonzero(model == m)
+                if not len(at):
+                    continue
+                rid, raw = b.column(0).to_numpy(zero_copy_only=False)[at], _matrix(b.column(2).take(pa.array(at)), dim)
+                near = units @ (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).T
+                near[ids[:, None] == rid[None, :]] = -2
+                for i, top in enumerate(np.argpartition(near, -min(k, len(rid)), axis=1)[:, -k:]):
+                    held = best.setdefault((m, i), [])
+                    held += [(-float(near[i, j]), raw[j].tobytes()) for j in top if near[i, j] > -2]
+                    held.sort()
+                    del held[k:]
+        rows = [(m, i, far, vec) for (m, i), held in best.items() for far, vec in held]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.float64(), pa.binary()))], names=["model", "probe", "far", "vec"])
+
+    found = reps.select("rid", "model", "vec").mapInArrow(nearest, "model string, probe int, far double, vec binary")
+    found = found.groupBy("model", "probe").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "vec"))), 1, k).alias("near"))
+    out: dict = {}
+    for r in found.collect():
+        for e in r["near"]:
+            v = np.frombuffer(bytes(e["vec"]), dtype=np.float32)
+            out.setdefault(r["model"], []).append((probes[r["model"]][r["probe"]][1], v / np.linalg.norm(v.astype(np.float64))))
+    return out
+
+
+def _place(bases: list, fitted: dict, dim: int, orderings: dict):
+    """Rows (rid, model, vec) to one row per ordering of the model, ORDERINGS if not named, with the curve position."""
 
     def place(batches: Iterator) -> Iterator:
         import numpy as np
@@ -116,15 +197,19 @@ def _place(bases: list, fitted: dict, dim: int):
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
             codes = model.dictionary_encode()
             which = codes.indices.to_numpy(zero_copy_only=False)
+            models = codes.dictionary.to_pylist()
+            wanted = np.array([orderings.get(m, ORDERINGS) for m in models])[which]
             for o, (basis, shift) in enumerate(bases):
-                flat = unit @ basis
-                for c, m in enumerate(codes.dictionary.to_pylist()):
-                    at = which == c
+                rows = np.flatnonzero(wanted > o)
+                if not len(rows):
+                    break
+                flat = unit[rows] @ basis
+                for c, m in enumerate(models):
+                    at = which[rows] == c
                     centre, spread = fitted.get(m, fitted[None])[o]
                     flat[at] = (flat[at] - centre) / spread
-                cells = np.clip((flat + shift + 4) * ((1 << BITS) / 8), 0, (1 << BITS) - 1)
-                keys = hilbert_keys(cells.astype(np.int64), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o, dtype=np.int32)), model, pa.array(keys), rid, vec], names=["ord", "model", "pos", "rid", "vec"])
+                keys = _keys(flat, shift)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), o, dtype=np.int32)), model.take(pa.array(rows)), pa.array(keys), rid.take(pa.array(rows)), vec.take(pa.array(rows))], names=["ord", "model", "pos", "rid", "vec"])
 
     return place
 
@@ -215,7 +300,7 @@ def most_similar(df: DataFrame, id_col: str, vector: str, model: str, dim: int,
     model and id count once (with the largest vector, should they differ). Equal similarity is ranked by id. With
     least, only similarities of at least least are given, which is the same result filtered, but cheaper. A model with
     one vector, and an empty input, give no rows. The search is approximate: neighbours can be missed, similarities
-    given are exact.
+    given are exact. Orderings are added, as far as a sample of each large model needs them, to meet RECALL of the k.
     """
     rows = df.where(usable(vector, dim) & F.col(id_col).isNotNull() & F.col(model).isNotNull())
     rows = rows.select(F.col(model).cast("string").alias("model"), F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
@@ -227,9 +312,13 @@ def most_similar(df: DataFrame, id_col: str, vector: str, model: str, dim: int,
     total = reps.count()
     if not total:
         return df.sparkSession.createDataFrame([], "model string, id string, neighbour_id string, rank int, similarity double")
-    bases, fitted = _fit(reps, dim, total)
-    placed = reps.select("rid", "model", "vec").mapInArrow(_place(bases, fitted, dim), "ord int, model string, pos bigint, rid bigint, vec binary")
-    parts = max(1, math.ceil(total * ORDERINGS / (WINDOW * WINDOWS_A_PART)))
+    sizes: dict = {}
+    if least is None or least < CLOSE:
+        sizes = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 3 * WINDOW).collect()}
+    bases, fitted, orderings = _fit(reps, dim, total, k, sizes)
+    placements = total * ORDERINGS + sum(sizes[m] * (o - ORDERINGS) for m, o in orderings.items())
+    placed = reps.select("rid", "model", "vec").mapInArrow(_place(bases, fitted, dim, orderings), "ord int, model string, pos bigint, rid bigint, vec binary")
+    parts = max(1, math.ceil(placements / (WINDOW * WINDOWS_A_PART)))
     placed = placed.repartitionByRange(parts, "ord", "model", "pos", "rid").sortWithinPartitions("ord", "model", "pos", "rid")
     near = placed.mapInArrow(_search(dim, k, least), "rid bigint, near array<struct<far: double, rid: bigint>>")
     merged = near.groupBy("rid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))

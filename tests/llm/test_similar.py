@@ -81,5 +81,17 @@ def test_recall_through_small_windows(spark, monkeypatch):
     assert len(want) > 500 and len(want & got) >= 0.98 * len(want)
 
 
+def test_recall_of_all_neighbours_in_a_large_model(spark, monkeypatch):
+    """Five neighbours of any similarity, in noise that is large beside the windows."""
+    monkeypatch.setattr(similar, "WINDOW", 16)
+    monkeypatch.setattr(similar, "WINDOWS_A_PART", 512)
+    unit = np.random.default_rng(6).standard_normal((6000, 64)).astype(np.float32)
+    near = (unit / np.linalg.norm(unit, axis=1, keepdims=True)) @ (unit / np.linalg.norm(unit, axis=1, keepdims=True)).T - 2 * np.eye(len(unit))
+    want = {(f"v{i:04}", f"v{j:04}") for i, row in enumerate(np.argpartition(near, -5, axis=1)[:, -5:]) for j in row}
+    data = [(f"v{i:04}", [float(x) for x in v], "m") for i, v in enumerate(unit)]
+    got = {(r["id"], r["neighbour_id"]) for r in most_similar(frame(spark, data), "id", "vector", "model_id", 64, 5).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_empty(spark, rows):
     assert rows(most_similar(frame(spark, []), "id", "vector", "model_id", 8, 5)) == []
