@@ -13,7 +13,7 @@ from graphloom.operators.scope import Scope, label_outcome, policy_decision, sco
 from graphloom.operators.traverse import directed_edges, get_node, impact_events, impact_kind, impact_levels, neighbors, reach_reverse, relations_exist
 from graphloom.plans.graph_sql import CODE, SCOPED, SEEN, STAR, TYPES, walk
 from graphloom.schema import TRAVERSED, extension_outcome
-from graphloom.sources import read
+from graphloom.sources import cut, read
 from graphloom.sources.graph import Graph, code_graph, code_nodes, star_graph, star_points
 
 SCOPE = Scope("t0", "u", ("repo0", "repo1", "repo2"), ("g0", "g1"))
@@ -266,12 +266,24 @@ def ppr(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{_ppr_sql()}, x AS (SELECT min(score) AS a, max(score) AS b FROM p{algos.ROUNDS}) SELECT bfs.id AS node_id, CAST(hop AS INTEGER) AS hop, edge_type, round(coalesce((score - a) / (b - a), 0), 8) AS ppr_norm,
  round(0.5 * coalesce((score - a) / (b - a), 0) + 0.3::DOUBLE / hop, 8) AS impact_score, {_KIND} AS impact_kind FROM bfs LEFT JOIN p{algos.ROUNDS} p ON p.id = bfs.id, x""")
 def impact_score(spark: SparkSession, sf: str) -> DataFrame:
-    graph = code_graph(spark, sf)
+    """The part of the impact score that SQL can give: proximity and PageRank. impact_score_full has all of it."""
     edges = _code_impact_edges(spark, sf)
-    levels = impact_events(graph.nodes, graph.relations, HUB, 2, 1_000_000).where("event_kind = 'node'").select("node_id", "hop", "edge_type")
     none = edges.select(F.col("src").alias("id"), F.lit(0.0).alias("score")).distinct()
-    scores = algos.impact_scores(levels, algos.personalised_pagerank(edges, HUB), none, HUB)
-    return scores.select("node_id", "hop", "edge_type", F.round("ppr_norm", 8).alias("ppr_norm"), F.round("impact_score", 8).alias("impact_score"), impact_kind(F.col("edge_type")).alias("impact_kind"))
+    return _impact_scores(spark, sf, edges, none).drop("betweenness_norm")
+
+
+@query()
+def impact_score_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole impact score: proximity, PageRank and exact betweenness."""
+    edges = cut(_code_impact_edges(spark, sf))
+    return _impact_scores(spark, sf, edges, algos.betweenness(edges))
+
+
+def _impact_scores(spark: SparkSession, sf: str, edges: DataFrame, between: DataFrame) -> DataFrame:
+    graph = code_graph(spark, sf)
+    levels = impact_events(graph.nodes, graph.relations, HUB, 2, 1_000_000).where("event_kind = 'node'").select("node_id", "hop", "edge_type")
+    scores = algos.impact_scores(levels, algos.personalised_pagerank(edges, HUB), between, HUB)
+    return scores.select("node_id", "hop", "edge_type", *(F.round(c, 8).alias(c) for c in ("ppr_norm", "betweenness_norm", "impact_score")), impact_kind(F.col("edge_type")).alias("impact_kind"))
 
 
 @query()

@@ -2,6 +2,8 @@ import random
 
 import pytest
 from graphloom.operators import algos
+from graphloom.plans import graph_queries
+from graphloom.sources.graph import Graph
 
 
 def edges(spark, pairs):
@@ -60,6 +62,47 @@ def test_impact_score(spark, rows):
     assert rows(algos.impact_scores(deps, ppr, same, "e", with_entry=False), "node_id", "impact_score") == [("a", 0.8), ("b", 0.15)]
 
 
+def test_the_whole_impact_score_equals_brute_force(spark, monkeypatch):
+    """impact_score_full on a random graph: betweenness by counting all shortest paths, one pair of nodes at a time."""
+    r = random.Random(8)
+    hub = graph_queries.HUB
+    ids = [hub, *(f"n{i:02}" for i in range(14))]
+    calls = sorted({(r.choice(ids[1:]), r.choice(ids[:6])) for _ in range(40)} | {("n00", hub), ("n01", hub)})
+    graph = Graph(spark.createDataFrame([(i, "code", i) for i in ids], "id string, domain string, name string"), spark.createDataFrame([(a, b, "CALLS") for a, b in calls if a != b], "from_id string, to_id string, rel_type string"))
+    monkeypatch.setattr(graph_queries, "code_graph", lambda *_: graph)
+
+    hop, level = {hub: 0}, [hub]
+    for d in (1, 2):
+        level = sorted({a for a, b in calls if b in level} - set(hop))
+        hop |= dict.fromkeys(level, d)
+    steps = [(b, a) for a, b in calls if a != b and a in hop and b in hop]
+    passed = dict.fromkeys(hop, 0.0)
+    for s in hop:
+        paths, ended, seen = [[s]], {}, {s}  # all shortest paths from s, by end
+        while paths:
+            longer = [[*p, b] for p in paths for a, b in steps if a == p[-1] and b not in seen]
+            for p in longer:
+                ended.setdefault(p[-1], []).append(p)
+            seen |= {p[-1] for p in longer}
+            paths = longer
+        for found in ended.values():
+            for p in found:
+                for v in p[1:-1]:
+                    passed[v] += 1 / len(found)
+    rank = {i: 0.15 * (i == hub) for i in hop}
+    for _ in range(algos.ROUNDS):
+        new = {i: 0.15 * (i == hub) for i in hop}
+        for a, b in steps:
+            new[b] += 0.85 * rank[a] / sum(x == a for x, _ in steps)
+        rank = new
+    scaled = lambda m: {i: (v - min(m.values())) / (max(m.values()) - min(m.values())) for i, v in m.items()}
+    ppr, between = scaled(rank), scaled(passed)
+    want = {i: (between[i], 0.5 * ppr[i] + 0.3 / d + 0.2 * between[i]) for i, d in hop.items() if d}
+    assert sum(b > 0 for b, _ in want.values()) > 2
+    got = {x["node_id"]: (x["betweenness_norm"], x["impact_score"]) for x in graph_queries.impact_score_full(spark, "").collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-7 for i in got for a, b in zip(got[i], want[i]))
+
+
 def test_the_fence(spark, rows):
     p = {"tenant_id": "t", "repo": "r", "acl_group": "g"}
     scope = "tenant_id string, repo string, acl_group string"
