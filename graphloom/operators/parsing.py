@@ -315,41 +315,39 @@ def syntax_ok(language: str, source: str) -> bool:
     return not open_
 
 
-#: How deep chunks are split; what is nested deeper stays whole.
-MAX_NESTING = 40
-
-
-def chunk_tree(source: str, start: int, end: int, budget: int = 1500, nesting: int = 0) -> list[tuple[str, int]]:
+def chunk_tree(source: str, start: int, end: int, budget: int = 1500) -> list[tuple[str, int]]:
     """(text, size) of the chunks of source[start:end]; size counts characters that are no white space.
 
     Whole if it fits; otherwise its statements, or those within its largest braces, small neighbours merged as long as
-    their sizes together fit, large ones split in turn. What can't be split may exceed the budget.
+    their sizes together fit, large ones split in turn, however deep. What can't be split may exceed the budget.
     """
     solid = lambda a, b: sum(1 for c in source[a:b] if not c.isspace())
     if budget < 1:
         raise ValueError("budget must be positive")
-    if solid(start, end) <= budget:
-        return [(source[start:end], solid(start, end))]
-    pieces = _children(source, start, end) if nesting < MAX_NESTING else []
-    if len(pieces) < 2:
-        return [(source[start:end], solid(start, end))]
     out: list[tuple[str, int]] = []
-    run: tuple[int, int, int] | None = None
-    for a, b in pieces:
+    todo = [(start, end, True)]  # spans in reverse order, and whether they are still to be split
+    while todo:
+        a, b, whole = todo.pop()
         n = solid(a, b)
-        if n > budget:
-            if run:
-                out.append((source[run[0] : run[1]], run[2]))
-                run = None
-            out += chunk_tree(source, a, b, budget, nesting + 1)
-        elif run and run[2] + n <= budget:
-            run = (run[0], b, run[2] + n)
-        else:
+        pieces = _children(source, a, b) if whole and n > budget else []
+        if len(pieces) < 2 or (a, b) in pieces:
+            out.append((source[a:b], n))
+            continue
+        parts: list[tuple[int, int, bool]] = []
+        run: tuple[int, int, int] | None = None
+        for c, d in pieces:
+            size = solid(c, d)
+            if run and size <= budget and run[2] + size <= budget:
+                run = (run[0], d, run[2] + size)
+                continue
             if run:
-                out.append((source[run[0] : run[1]], run[2]))
-            run = (a, b, n)
-    if run:
-        out.append((source[run[0] : run[1]], run[2]))
+                parts.append((run[0], run[1], False))
+            run = (c, d, size) if size <= budget else None
+            if run is None:
+                parts.append((c, d, True))
+        if run:
+            parts.append((run[0], run[1], False))
+        todo += reversed(parts)
     return out
 
 

@@ -142,3 +142,9 @@ def test_lineage(spark, rows):
     old = spark.createDataFrame([("old.go", "o1", "h"), ("old.go", "o2", "h"), ("old.go", "o3", "k"), ("else.go", "o4", "h"), ("old.go", "o5", None)], "path string, id string, ast_hash string")
     new = spark.createDataFrame([("new.go", "n1", "h"), ("new.go", "n2", "z"), ("new.go", "n3", None)], "path string, id string, ast_hash string")
     assert rows(extract.rename_lineage(extract.parse_renames(lines), old, new)) == [("o1", "n1", "h")]
+
+
+def test_deeply_nested_code_is_split_to_the_budget():
+    deep = "func f() {\n" + "".join(f"if a{i} {{\nb{i}()\n" for i in range(60)) + "".join(f"leaf{i}()\n" for i in range(30)) + "}\n" * 61
+    parts = parsing.chunk_tree(deep, 0, len(deep), 100)
+    assert max(n for _, n in parts) <= 100 and sum(n for _, n in parts) == sum(not c.isspace() for c in deep)
