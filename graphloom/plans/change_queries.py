@@ -20,12 +20,18 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "outbox").where(F.col("aggregate_id").isNotNull())
 
 
+#: What decides between deliveries of one position: the time of delivery, then the batch.
+DELIVERY_TIES = ("received_at", "batch_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return surplus_deliveries(_messages(spark, sf), "id", "delivery_seq")
+    deliveries = _messages(spark, sf).select("id", "delivery_seq", *DELIVERY_TIES)
+    return surplus_deliveries(deliveries, "id", "delivery_seq", DELIVERY_TIES)
 
 
 def p2_messages(spark: SparkSession, sf: str) -> DataFrame:
-    kept = deduplicate(_messages(spark, sf), "id", "delivery_seq")
+    rows = _messages(spark, sf).select("id", "delivery_seq", *DELIVERY_TIES, "aggregate_type", "aggregate_id", "payload")
+    kept = deduplicate(rows, "id", "delivery_seq", DELIVERY_TIES)
     return kept.select("delivery_seq", "batch_id", canonical_uuid(F.col("id")).alias("message_id"), "aggregate_type", "aggregate_id", "payload")
 
 

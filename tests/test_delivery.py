@@ -26,3 +26,14 @@ def test_empty_and_hot(spark, rows):
     hot = spark.range(3000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, A).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("id"))
     assert surplus_deliveries(hot, "id", "seq").count() == 999
     assert rows(deduplicate(hot.where("id like '89%'"), "id", "seq"), "seq", "id") == [(0, A)]
+
+
+def test_equal_positions_keep_exactly_one(spark, rows):
+    schema = "seq bigint, id string, t int, m map<string, int>, kept_row int"
+    data = [(1, A, 5, {"a": 1}, 1), (1, A.upper(), 4, {"a": 2}, 2), (1, A, 4, {"a": 3}, 3), (1, B, None, None, 4), (1, B, None, None, 4), (1, B, 0, None, 5), (2, B, 0, None, 6)]
+    df = spark.createDataFrame(data, schema)
+    kept = rows(deduplicate(df, "id", "seq", ("t",)), "id", "t", "kept_row")
+    assert len(kept) == 2 and {k[1] for k in kept} == {4, None}
+    assert kept == rows(deduplicate(df.repartition(3), "id", "seq", ("t",)), "id", "t", "kept_row")
+    assert rows(surplus_deliveries(df, "id", "seq", ("t",))) == [(1,), (1,), (1,), (1,), (2,)]
+    assert len(rows(deduplicate(df, "id", "seq"))) == 2 and len(rows(surplus_deliveries(df, "id", "seq"))) == 5
