@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,14 @@ def intent(text: Column) -> Column:
     return F.when(F.trim(text) != "", decided)
 
 
+# Phrases that ask who calls something.
+CALLERS = ["chi chiama", "who calls", "chiamanti di"]
+
+
 def asks_for_callers(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike("who calls|chi chiama|callers of"), F.lit(False))
+    """Whether the text has one of the phrases, in any case; false for null."""
+    low = F.lower(text)
+    return F.coalesce(reduce(or_, (low.contains(p) for p in CALLERS)), F.lit(False))
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -92,7 +92,7 @@ def policy_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT id, CASE WHEN domain NOT IN ('code', 'doc', 'legal') OR domain IS NULL THEN 'unsupported_domain' WHEN ext IS NULL THEN 'missing_ext' WHEN NOT json_valid(ext) THEN 'invalid_json'
- WHEN (domain = 'code' AND ext->>'node_type' IN ('Module','Package','File','Class','Interface','Method','Function','Parameter','Field','CallSite')) OR (domain = 'doc' AND ext->>'node_type' IN ('Document','Section','Paragraph')) OR (domain = 'legal' AND ext->>'node_type' IN ('Contract','Clause','Policy')) THEN 'accepted' ELSE 'unknown_node_type' END AS outcome FROM code_node""")
+ WHEN (domain = 'code' AND ext->>'node_type' IN ('Module','Package','File','Class','Interface','Method','Function','Parameter','Field','CallSite')) OR (domain = 'doc' AND ext->>'node_type' IN ('Document','Section','Paragraph')) OR (domain = 'legal' AND ext->>'node_type' IN ('Contract','Clause','Policy','Regulation')) THEN 'accepted' ELSE 'unknown_node_type' END AS outcome FROM code_node""")
 def extension_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "code_node").select("id", extension_outcome(F.col("domain"), F.col("ext")).alias("outcome"))
 

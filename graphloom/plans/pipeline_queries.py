@@ -293,6 +293,11 @@ def intents(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "i.intent", "i.graph_weight", F.array_join("i.evidence", ",").alias("evidence"))
 
 
+@query("SELECT doc_id, coalesce(contains(lower(text), 'chi chiama') OR contains(lower(text), 'who calls') OR contains(lower(text), 'chiamanti di'), FALSE) AS asks FROM documents")
+def caller_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", answer.asks_for_callers(F.col("text")).alias("asks"))
+
+
 def _claims(spark: SparkSession, sf: str) -> tuple:
     """Answers about relations of the code graph; some cite stale places, claim unknown symbols or reversed relations."""
     graph = code_graph(spark, sf)

@@ -15,7 +15,7 @@ FULLTEXT_NODE_TYPES = ["Method", "Function", "Class", "File"]
 NODE_TYPES = {
     "code": ["Module", "Package", "File", "Class", "Interface", "Method", "Function", "Parameter", "Field", "CallSite"],
     "doc": ["Document", "Section", "Paragraph"],
-    "legal": ["Contract", "Clause", "Policy"],
+    "legal": ["Contract", "Clause", "Policy", "Regulation"],
 }
 AGGREGATE_TYPES = ["CodeNode", "CodeRelation", "CodeChunk", "CodeEmbedding"]
 EVENT_TYPES = ["UPSERT", "DELETE"]
