@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +19,21 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir; one of our own only where that setting is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own, removed at exit; others are refused.
+
+    Checkpoints are deleted with their last reference if spark.cleaner.referenceTracking.cleanCheckpoints is set, as
+    bench.py and the tests set it.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ def spark():
         .config("spark.default.parallelism", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "3g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
