@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.vectors import cosine, literal_vector
 from graphloom.operators.traverse import reach_reverse
 from graphloom.schema import FULLTEXT_NODE_TYPES
+from graphloom.sources.tables import cut
 
 # The fusion constant, boosts and limits of a retrieval.
 RRF_K, BETA, VECTOR_LIMIT, GRAPH_LIMIT, TOP_K = 60, 0.15, 50, 200, 25
@@ -47,30 +48,74 @@ def _terms(col: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
 
 
-def fulltext_search(nodes: DataFrame, query: str, limit: int = TOP_K) -> DataFrame:
-    """id, domain, name, score, text_rank: nodes of the indexed types by BM25 over name, signature and source_text.
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column, length: Column, average: Column) -> Column:
+    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / average))
+
+
+def _texts(nodes: DataFrame) -> Column:
+    return F.concat_ws(" ", *(c for c in ("name", "signature", "source_text") if c in nodes.columns))
+
+
+def term_counts(nodes: DataFrame, terms: list[str], chunks: DataFrame | None = None) -> DataFrame:
+    """id, domain, name, len and tf0, tf1, ... of the nodes of the indexed types: their words, and those equal to each term.
+
+    Counts are taken where a text lies, in each chunk if chunks are given, and added up by node; texts are never put
+    together. Repeated chunks of one index count once (the largest text).
+    """
+    kept = nodes.where(F.col("node_type").isin(FULLTEXT_NODE_TYPES))
+    counts = lambda words: (F.size(words).alias("len"), *(F.size(F.filter(words, partial(_is, t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    own = kept.select("id", "domain", "name", _terms(_texts(nodes)).alias("words")).select("id", "domain", "name", *counts("words"))
+    if chunks is None:
+        return own
+    one = chunks.where("text IS NOT NULL").groupBy("entity_id", "chunk_index").agg(F.max("text").alias("text"))
+    each = one.select("entity_id", _terms(F.col("text")).alias("words")).select("entity_id", *counts("words"))
+    names = ["len", *(f"tf{i}" for i in range(len(terms)))]
+    total = each.groupBy(F.col("entity_id").alias("id")).agg(*(F.sum(c).alias(f"add_{c}") for c in names))
+    return own.join(total, "id", "left").select("id", "domain", "name", *((F.col(c) + F.coalesce(f"add_{c}", F.lit(0))).alias(c) for c in names))
+
+
+def fulltext_search(nodes: DataFrame, query: str, limit: int = TOP_K, chunks: DataFrame | None = None) -> DataFrame:
+    """id, domain, name, score, text_rank: nodes of the indexed types by BM25 over name, signature and source_text, and the texts of their chunks.
 
     nodes: id, domain, node_type, name and, if there, signature and source_text. A query without terms gives no rows.
-    Only counts of query terms are kept per node; term statistics are one aggregation over all nodes.
+    One pass over the texts: the counts of the query's terms are kept, a few numbers a node, and serve both the
+    statistics and the scores.
     """
     terms = sorted({t for t in _split(sanitise_query(query))})
-    text = F.concat_ws(" ", *(c for c in ("name", "signature", "source_text") if c in nodes.columns))
-    docs = nodes.where(F.col("node_type").isin(FULLTEXT_NODE_TYPES)).select("id", "domain", "name", _terms(text).alias("words"))
     if not terms:
-        return docs.limit(0).select("id", "domain", "name", F.lit(0.0).alias("score"), F.lit(0).alias("text_rank"))
-    counts = [F.size(F.filter("words", partial(_is, t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    docs = docs.select("id", "domain", "name", F.size("words").alias("len"), *counts)
+        return nodes.limit(0).select("id", "domain", "name", F.lit(0.0).alias("score"), F.lit(0).alias("text_rank"))
+    docs = cut(term_counts(nodes, terms, chunks))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf = F.col(f"tf{i}").cast("double")
-        idf = F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / (stats["avg"] or 1.0)))
+        score = score + _idf(F.lit(stats["n"]), F.lit(stats[f"df{i}"])) * _saturated(F.col(f"tf{i}").cast("double"), F.col("len"), F.lit(stats["avg"] or 1.0))
     hits = docs.withColumn("score", score).where(F.greatest(F.lit(0), *(f"tf{i}" for i in range(len(terms)))) > 0)
     top = hits.select("id", "domain", "name", "score").orderBy(F.desc("score"), "id").limit(limit)
     return top.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def fulltext_batch(nodes: DataFrame, queries: DataFrame, limit: int = TOP_K) -> DataFrame:
+    """query_id, id, score, text_rank: fulltext_search for every query (query_id, text) at once, over the texts of nodes.
+
+    Postings of the words that queries ask for meet the queries by word, so texts are read once whatever the number of
+    queries. Queries without words give no rows.
+    """
+    docs = nodes.where(F.col("node_type").isin(FULLTEXT_NODE_TYPES)).select("id", _terms(_texts(nodes)).alias("words"))
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("word")).distinct())
+    postings = docs.select("id", F.size("words").alias("len"), F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("id", "len", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    postings = cut(postings)
+    n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    spread = postings.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    worth = postings.join(spread, "word").select("word", "id", (_idf(F.lit(n), F.col("df")) * _saturated(F.col("tf"), F.col("len"), F.lit(average or 1.0))).alias("part"))
+    scored = asked.join(worth, "word").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("text_rank", place).where(F.col("text_rank") <= limit)
+
+
 def _is(term: str, word: Column) -> Column:
     return word == F.lit(term)
 

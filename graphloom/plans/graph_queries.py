@@ -405,9 +405,8 @@ _TERMS = "list_filter(regexp_split_to_array(lower(coalesce(name, '') || coalesce
  sc AS (SELECT id, domain, name, {' + '.join(f'ln(1 + (n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))' for i in range(3))} AS score FROM f, st WHERE t0 + t1 + t2 > 0)
  SELECT id, domain, name, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS text_rank FROM sc ORDER BY score DESC, id LIMIT 25""")
 def fulltext_topk(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = code_nodes(spark, sf)
-    texts = retrieve.source_texts(read(spark, sf, "code_chunk"), nodes.select(F.col("id").alias("entity_id"))).withColumnRenamed("entity_id", "id")
-    return retrieve.fulltext_search(nodes.join(texts, "id", "left"), "append context return?").withColumn("score", F.round("score", 8))
+    found = retrieve.fulltext_search(code_nodes(spark, sf), "append context return?", chunks=read(spark, sf, "code_chunk"))
+    return found.withColumn("score", F.round("score", 8))
 
 
 # --- packing ------------------------------------------------------------------------------------------------------

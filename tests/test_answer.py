@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 from graphloom.operators import agent, answer
+from graphloom.operators.retrieve import fulltext_batch
 from pyspark.sql import functions as F
 
 
@@ -76,51 +77,90 @@ def test_audit(spark):
     assert at["name"] == "audit/v1/2026/01/02/e-d.json" and at["retain_until"].second == 16
 
 
-class Fake:
-    def __init__(self, answers):
-        self.answers, self.calls = answers, []
-
-    def execute(self, action, query, node_id):
-        self.calls.append((action, node_id))
-        return [agent.Found(x) for x in self.answers.get((action, node_id), [])]
-
-
-def test_agent_plans_and_budgets():
-    tools = Fake({("semantic_search", None): ["a", "b"], ("get_callers", "a"): ["c", "a"]})
-    got = agent.run("Who calls a?", tools)
-    assert got.stop == "plan_completed" and [c.node_id for c in got.candidates] == ["a", "b", "c"]
-    assert tools.calls == [("semantic_search", None), ("expand_dependencies", "a"), ("expand_dependencies", "b"), ("get_callers", "a"), ("get_callers", "b")]
-    few = Fake({("semantic_search", None): ["a", "b", "c"]})
-    agent.run("who calls a", few, agent.Limits(steps=3))
-    assert few.calls == [("semantic_search", None), ("expand_dependencies", "a"), ("get_callers", "a")]
-    deep = Fake({("semantic_search", None): ["a", "b"], ("get_callees", "b"): ["d"], ("get_callees", "d"): ["b"]})
-    free = agent.run("how does it work", deep)
-    assert free.stop == "blast_radius_stabilized" and deep.calls[1:] == [("get_callees", "b"), ("get_callees", "d"), ("get_callees", "a")]
-    assert agent.run("anything", deep, agent.Limits(steps=2)).stop == "step_budget_exhausted"
-    assert agent.run("anything", deep, agent.Limits(tokens=1)).stop == "token_budget_exhausted"
-    with pytest.raises(ValueError):
-        agent.run("  ", deep)
+def explored(query, kind, search, near, limits):
+    """One question step by step, in plain Python: stop, steps, tokens, actions with targets, nodes in order of finding."""
+    size = lambda action: (len(f"Domanda: {query}\nAzione corrente: {action}".encode()) + 3) // 4
+    hits = sorted(search)[: limits.finds]
+    taken, order, tokens = [("semantic_search", None)], list(hits), size("semantic_search")
+    todo, stack = [], list(hits)
+    if kind == "structural":
+        seeds = hits[: max(limits.steps - 1, 0) // 2]
+        todo = [("expand_dependencies", x) for x in seeds] + [("get_callers", x) for x in seeds] or [("expand_dependencies", None), ("get_callers", None)]
+    new, left = True, bool(todo[0][1] if todo else hits)
+    while True:
+        if kind == "structural" and todo == []:
+            return "plan_completed", len(taken), tokens, taken, order
+        if len(taken) >= limits.steps:
+            return "step_budget_exhausted", len(taken), tokens, taken, order
+        if tokens >= limits.tokens:
+            return "token_budget_exhausted", len(taken), tokens, taken, order
+        if len(taken) > 1 and not new and not left:
+            return "blast_radius_stabilized", len(taken), tokens, taken, order
+        action, target = (todo.pop(0) if todo else ("get_callees", stack.pop() if stack else None))
+        taken.append((action, target))
+        found = sorted(near.get((action, target), ()))[: limits.finds] if target else []
+        tokens += size(action) if target else 0
+        fresh = [x for x in found if x not in order]
+        order += fresh
+        stack += fresh
+        new, left = bool(fresh), left if kind == "structural" else bool(stack)
+
+
+def test_exploration_equals_a_walk_by_hand(spark):
+    ids = [f"n{i}" for i in range(9)]
+    nodes = spark.createDataFrame([(x, "code", "Function", f"alpha {x}" if i < 4 else f"beta {x}") for i, x in enumerate(ids)], "id string, domain string, node_type string, name string")
+    links = [(f"n{a}", f"n{b}", "CALLS") for a, b in ((0, 4), (0, 5), (1, 4), (2, 6), (3, 0), (4, 7), (5, 7), (7, 0), (6, 6), (8, 1), (3, 8), (7, 8), (6, 3))] + [("n0", "n8", "IMPORTS"), ("n1", "n2", "EXTENDS"), ("n1", "hidden", "IMPORTS")]
+    near = {}
+    for a, b, t in links:
+        if b in ids and a != b:
+            near.setdefault(("get_callees" if t == "CALLS" else "expand_dependencies", a), set()).add(b)
+            if t == "CALLS":
+                near.setdefault(("get_callers", b), set()).add(a)
+    rel = spark.createDataFrame(links, "from_id string, to_id string, rel_type string")
+    asked = [("s", "who calls alpha", "structural"), ("c", "how does alpha work", "conceptual"), ("h", "alpha?", "hybrid"), ("t", "who calls gamma", "structural"), ("g", "gamma", "hybrid")]
+    questions = spark.createDataFrame([(q, text) for q, text, _ in asked] + [("e", " "), ("u", None)], "query_id string, query string")
+    # words of the questions are found in names, of which only alpha is one
+    for limits in (agent.Limits(), agent.Limits(steps=1), agent.Limits(steps=2), agent.Limits(steps=4), agent.Limits(tokens=30), agent.Limits(steps=6, finds=2), agent.Limits(finds=1)):
+        got = agent.explore(questions, nodes, rel, limits)
+        outcomes = {r["query_id"]: r for r in got.outcomes.collect()}
+        trace, order = {}, {}
+        for r in got.trace.collect():
+            trace.setdefault(r["query_id"], []).append((r["step"], r["action"], r["target"]))
+        for r in got.candidates.collect():
+            order.setdefault(r["query_id"], []).append((r["place"], r["node_id"]))
+        hits = [r["id"] for r in fulltext_batch(nodes, questions.select("query_id", F.lit("alpha").alias("text")).limit(1), limits.finds).collect()]
+        for q, text, kind in asked:
+            stop, n, tokens, taken, found = explored(text, kind, hits if "alpha" in text else [], near, limits)
+            assert (outcomes[q]["stop"], outcomes[q]["n_steps"], outcomes[q]["n_tokens"], outcomes[q]["intent"]) == (stop, n, tokens, kind), (q, limits)
+            assert [t[1:] for t in sorted(trace[q])] == taken and [x for _, x in sorted(order.get(q, []))] == found, (q, limits)
+        assert outcomes["e"]["stop"] == outcomes["u"]["stop"] == "empty_question"
+    asks = {(r["query_id"], r["step"]) for r in agent.explore(questions, nodes, rel).trace.where("prompt IS NOT NULL").collect()}
+    assert max(s for q, s in asks if q == "s") == 9 and sum(q == "s" for q, _ in asks) == 1 and ("c", 1) in asks and not any(q in "tg" for q, _ in asks)
     with pytest.raises(ValueError):
         agent.Limits(steps=0)
 
 
+def test_prompts_name_what_was_found(spark, rows):
+    questions = spark.createDataFrame([("q", "why"), ("r", "how")], "query_id string, query string")
+    found = spark.createDataFrame([("q", 2, "b", None, "File"), ("q", 1, "a", "alpha", "Class")], "query_id string, place int, node_id string, name string, node_type string")
+    assert rows(agent.context_prompts(questions, found)) == [("q", "Domanda: why\nContesto:\n- alpha (Class) [a]\n-  (File) [b]"), ("r", "Domanda: how\nContesto:")]
+
+
 def test_replies(spark, rows):
-    assert agent.read_reply('```json\n{"callers": ["a"], "methods": [], "node_type": "Class"}\n```') == {"callers": ["a"], "methods": ["__EMPTY__"], "node_type": ["Class"]}
-    for bad in ("[1]", "no", '{"a": [1]}'):
-        with pytest.raises(ValueError):
-            agent.read_reply(bad)
-    df = spark.createDataFrame([("q", '```json\n{"callers": ["a"], "methods": []}\n```'), ("r", "no json"), ("s", None)], "query_id string, reply string")
-    assert rows(agent.facts_frame(df)) == [("q", "callers", "a"), ("q", "methods", "__EMPTY__")]
-    assert agent.looks_fake(["a", "a"]) and not agent.looks_fake(["a", "b"])
+    fenced = '```json\n{"callers": ["a, b"], "methods": [], "node_type": "Class"}\n```'
+    df = spark.createDataFrame([("q", fenced), ("r", "no json"), ("s", None), ("t", '{"a": [1]}'), ("u", '{"a": ["x"], "b": 1}'), ("v", '{"a": ""}'), ("w", "[1]"), ("x", '{"a": [null]}')], "query_id string, reply string")
+    assert rows(agent.reply_facts(df)) == [("q", "callers", "a, b"), ("q", "methods", "__EMPTY__"), ("q", "node_type", "Class")]
+    models = spark.createDataFrame([("vLLM-Fake",), ("real",), (None,)], "m string")
+    assert [r[0] for r in models.select(agent.is_fake_model(F.col("m"))).collect()] == [True, False, False]
 
 
-def test_tools_on_a_graph(spark):
+def test_tools_on_a_graph(spark, rows):
     nodes = spark.createDataFrame([("a", "code", "Function", "alpha", "h", "r", "p"), ("b", "code", "Function", "beta", "h", "r", "p")], "id string, domain string, node_type string, name string, ast_hash string, repo string, path string")
     rel = spark.createDataFrame([("b", "a", "CALLS")], "from_id string, to_id string, rel_type string")
     chunks = spark.createDataFrame([("a", 0, "text"), ("z", 0, "no")], "entity_id string, chunk_index int, text string")
     tools = agent.GraphTools(nodes, rel, chunks)
-    got = agent.run("who calls alpha", tools)
-    assert [c.node_id for c in got.candidates] == ["a", "b"] and tools.read_source("a") == "text" and tools.read_source("z") is None
+    assert rows(tools.callers("a"), "id") == [("b",)] and rows(tools.callees("b"), "id") == [("a",)] and rows(tools.dependencies("a")) == []
+    assert rows(tools.read_source(spark.createDataFrame([("a",), ("z",)], "entity_id string"))) == [("a", "text")]
 
 
 def test_cache(spark, rows):
