@@ -71,6 +71,21 @@ def verify_claims(nodes: DataFrame, relations: DataFrame, symbols: DataFrame, li
     return bad_symbols.unionByName(bad_links).unionByName(hidden).unionByName(stale).unionByName(syntax)
 
 
+def checked_snippets(snippets: DataFrame) -> DataFrame:
+    """answer_id, language, is_valid of snippets (answer_id, language, code): whether strings and brackets close; false for unread languages and null code."""
+
+    def check(batches):
+        import pyarrow as pa
+
+        from graphloom.operators.parsing import syntax_ok
+
+        for b in batches:
+            ok = [code is not None and syntax_ok(language, code) for language, code in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["answer_id", "language", "is_valid"])
+
+    return snippets.select("answer_id", "language", "code").mapInArrow(check, f"answer_id {dict(snippets.dtypes)['answer_id']}, language string, is_valid boolean")
+
+
 def corrected_citations(nodes: DataFrame, citations: DataFrame) -> DataFrame:
     """answer_id, node_id, citation: citations of visible nodes as they should read now."""
     now = nodes.select(F.col("id").alias("node_id"), citation(F.col("repo"), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("commit_sha")).alias("citation"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 LANGUAGES = {"go": "go", "js": "javascript", "ts": "typescript"}
 
@@ -315,70 +317,97 @@ def syntax_ok(language: str, source: str) -> bool:
     return not open_
 
 
+class _Outline:
+    """Tokens of a span of source, where their brackets close, and how many characters other than white space came before.
+
+    A bracket that is never closed, as in a cut-off text, counts as a plain sign.
+    """
+
+    def __init__(self, source: str, start: int, end: int) -> None:
+        self.source, self.start = source, start
+        self.ts = tokens(source[start:end])
+        self.before = [0, *accumulate(not c.isspace() for c in source[start:end])]
+        self.mate = list(range(len(self.ts)))
+        still_open: list[int] = []
+        waiting: dict[str, int] = {}
+        for i, t in enumerate(self.ts):
+            if t.kind != "sign":
+                continue
+            if t.text in CLOSE:
+                still_open.append(i)
+                waiting[CLOSE[t.text]] = waiting.get(CLOSE[t.text], 0) + 1
+            elif waiting.get(t.text):
+                while CLOSE[self.ts[still_open[-1]].text] != t.text:
+                    waiting[CLOSE[self.ts[still_open.pop()].text]] -= 1
+                waiting[t.text] -= 1
+                self.mate[still_open.pop()] = i
+
+    def size(self, first: int, last: int) -> int:
+        return self.before[self.ts[last].end] - self.before[self.ts[first].start]
+
+    def text(self, first: int, last: int) -> str:
+        return self.source[self.start + self.ts[first].start : self.start + self.ts[last].end]
+
+    def statements(self, first: int, last: int) -> list[tuple[int, int]]:
+        """Ranges of tokens that end where a line does, outside brackets."""
+        out, begun, i = [], first, first
+        while i <= last:
+            i = min(self.mate[i], last)
+            if i == last or "\n" in self.source[self.start + self.ts[i].end : self.start + self.ts[i + 1].start]:
+                out.append((begun, i))
+                begun = i + 1
+            i += 1
+        return out
+
+    def parts(self, first: int, last: int) -> list[tuple[int, int]]:
+        """The statements of the range; of a single one, its head, the statements in its longest braces, and its tail. Empty if it has none."""
+        found = self.statements(first, last)
+        if len(found) > 1:
+            return found
+        longest, i = (0, 0), first
+        while i <= last:
+            close = self.mate[i]
+            if self.ts[i].text == "{" and i < close <= last and close - i > longest[1] - longest[0]:
+                longest = (i, close)
+            i = close + 1
+        if longest == (0, 0) or longest[0] + 1 == longest[1]:
+            return []
+        return [(first, longest[0]), *self.statements(longest[0] + 1, longest[1] - 1), (longest[1], last)]
+
+
 def chunk_tree(source: str, start: int, end: int, budget: int = 1500) -> list[tuple[str, int]]:
     """(text, size) of the chunks of source[start:end]; size counts characters that are no white space.
 
-    Whole if it fits; otherwise its statements, or those within its largest braces, small neighbours merged as long as
-    their sizes together fit, large ones split in turn, however deep. What can't be split may exceed the budget.
+    Whole if it fits. Otherwise its statements, or those within its longest braces, however deep: siblings between two
+    that have to be split themselves are put together from the left, as many as fit. What has no parts may exceed the
+    budget.
     """
-    solid = lambda a, b: sum(1 for c in source[a:b] if not c.isspace())
     if budget < 1:
         raise ValueError("budget must be positive")
-    out: list[tuple[str, int]] = []
-    todo = [(start, end, True)]  # spans in reverse order, and whether they are still to be split
+    outline = _Outline(source, start, end)
+    if outline.before[-1] <= budget or not outline.ts:
+        return [(source[start:end], outline.before[-1])]
+    # ranges from right to left; None keeps what is on either side of it apart
+    todo: list[tuple[int, int] | None] = [(0, len(outline.ts) - 1)]
+    rows: list[list[tuple[int, int]]] = [[]]
     while todo:
-        a, b, whole = todo.pop()
-        n = solid(a, b)
-        pieces = _children(source, a, b) if whole and n > budget else []
-        if len(pieces) < 2 or (a, b) in pieces:
-            out.append((source[a:b], n))
-            continue
-        parts: list[tuple[int, int, bool]] = []
-        run: tuple[int, int, int] | None = None
-        for c, d in pieces:
-            size = solid(c, d)
-            if run and size <= budget and run[2] + size <= budget:
-                run = (run[0], d, run[2] + size)
-                continue
-            if run:
-                parts.append((run[0], run[1], False))
-            run = (c, d, size) if size <= budget else None
-            if run is None:
-                parts.append((c, d, True))
-        if run:
-            parts.append((run[0], run[1], False))
-        todo += reversed(parts)
-    return out
-
-
-def _children(source: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The statements of the span; of a single one, what is before its largest braces, the statements in them, and the rest."""
-    ts = tokens(source[start:end])
-    lines = _lines(ts, source, start)
-    if len(lines) > 1:
-        return lines
-    best, i = None, 0
-    while i < len(ts):
-        if ts[i].text == "{" and ts[i].kind == "sign":
-            close = _match(ts, i)
-            if ts[close].text == "}" and close > i and (best is None or close - i > best[1] - best[0]):
-                best = (i, close)
-            i = close
-        i += 1
-    if best is None:
-        return lines
-    a, b = best
-    return [(start + ts[0].start, start + ts[a].end), *_lines(ts[a + 1 : b], source, start), (start + ts[b].start, start + ts[-1].end)]
-
-
-def _lines(ts: list[Token], source: str, start: int) -> list[tuple[int, int]]:
-    """Runs of tokens that end where a line does, outside brackets."""
-    out, first, depth = [], None, 0
-    for i, t in enumerate(ts):
-        first = t.start if first is None else first
-        depth += (t.text in CLOSE) - (t.text in CLOSE.values()) if t.kind == "sign" else 0
-        last = i + 1 == len(ts)
-        if depth <= 0 and (last or "\n" in source[start + t.end : start + ts[i + 1].start]) or last:
-            out.append((start + first, start + t.end))
-            first = None
+        here = todo.pop()
+        if here is None:
+            rows.append([])
+        elif outline.size(*here) > budget:
+            parts = outline.parts(*here)
+            if len(parts) > 1:
+                todo += [None, *reversed(parts), None]
+            else:
+                rows += [[here], []]
+        else:
+            rows[-1].append(here)
+    out = []
+    for row in rows:
+        ends = list(accumulate((outline.size(*r) for r in row), initial=0))
+        i = 0
+        while i < len(row):
+            upto = max(bisect_right(ends, ends[i] + budget) - 1, i + 1)
+            out.append((outline.text(row[i][0], row[upto - 1][1]), outline.size(row[i][0], row[upto - 1][1])))
+            i = upto
     return out

@@ -308,7 +308,9 @@ def _claims(spark: SparkSession, sf: str) -> tuple:
     symbols = r.select("answer_id", F.when(m == 2, F.concat("from_id", F.lit("x"))).otherwise(F.col("from_id")).alias("node_id"))
     citations = r.select("answer_id", F.col("from_id").alias("node_id"), F.when(m == 3, "old").otherwise(F.lit("provenance non disponibile")).alias("cited"))
     no_place = graph.nodes.withColumn("path", F.lit(""))
-    snippets = r.select("answer_id", F.lit("go").alias("language"), F.lit(True).alias("is_valid"))
+    language = F.when(m == 0, "go").when(m == 1, "cobol").when(m == 2, "typescript").otherwise("javascript")
+    code = F.when(m == 2, F.concat(F.lit("class A { run() { return '}'; }"), F.when(F.length("rel_type") % 2 == 0, "}").otherwise(""))).otherwise("f(x) { g([1]) } // )")
+    snippets = answer.checked_snippets(r.select("answer_id", language.alias("language"), code.alias("code")))
     answers = r.select("answer_id", F.pmod(F.ascii("answer_id"), F.lit(3)).alias("attempt")).distinct()
     return answers, answer.verify_claims(no_place, graph.relations, symbols, links, citations, snippets)
 
@@ -318,7 +320,8 @@ _VERIFY = f"""WITH {CODE}, r AS (SELECT DISTINCT id AS answer_id, from_id, to_id
  i AS (SELECT answer_id, 'symbol' AS stage, 'symbol-hallucination' AS code, CASE WHEN m = 2 THEN from_id || 'x' ELSE from_id END AS detail FROM r WHERE m = 2 OR from_id NOT IN (SELECT id FROM nodes)
  UNION ALL SELECT answer_id, 'relation', 'relation-nonexistent', a || ' -[' || rel_type || ']-> ' || b FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.from_id = a AND e.to_id = b AND e.rel_type = l.rel_type)
  UNION ALL SELECT answer_id, 'citation', 'citation-inaccessible', 'citation unavailable' FROM r WHERE from_id NOT IN (SELECT id FROM nodes)
- UNION ALL SELECT answer_id, 'citation', 'stale-citation', from_id FROM r WHERE m = 3 AND from_id IN (SELECT id FROM nodes))"""
+ UNION ALL SELECT answer_id, 'citation', 'stale-citation', from_id FROM r WHERE m = 3 AND from_id IN (SELECT id FROM nodes)
+ UNION ALL SELECT answer_id, 'syntax', 'syntax-invalid', CASE WHEN m = 1 THEN 'cobol' ELSE 'typescript' END FROM r WHERE m = 1 OR m = 2 AND length(rel_type) % 2 = 1)"""
 
 
 @query(f"{_VERIFY} SELECT * FROM i")
