@@ -2,9 +2,14 @@
 
 Features are measured by sentence, since one sentence makes a long text abusive: densities of the word lists, nearness
 to words of the second person, talk about oneself, about words or about code, capitals, punctuation, and how much of
-it was disguised (look-alike letters, masked or stretched or spaced letters, hidden characters). The trees are fitted
-on a bounded sample of the judged documents, starting from a plain lexicon margin, and calibrated on held-out folds.
-Scoring is one pass over the documents without a shuffle.
+it was disguised (look-alike letters, masked or stretched or spaced letters, hidden characters). Beside the general
+lists there is one learned from the judged documents: words and pairs of words with their log-odds of abuse, less a
+standard error towards none.
+
+Everything is fitted on a bounded sample of the judged documents, in folds: trees start from a ridge logistic regression
+and see densities of words that were learned without the document, calibration sees margins of trees grown without it,
+and the number of trees is where the loss on held-out folds is least. Nothing depends on how many judgements there are
+but through the data. Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,34 +25,47 @@ from graphloom.llm.sample import bounded_sample
 #: At most so many judged documents are used for fitting: those with the smallest hash of their id.
 MAX_LABELS = 20_000
 FOLDS, THRESHOLD = 5, 0.5
-#: One tree for so many judged documents, at least LEAST_TREES; calibration is trusted by half once so many are judged abusive.
-ROWS_A_TREE, LEAST_TREES, HALF_TRUST = 12, 4, 40
+#: A learned word's log-odds are those of its documents and PRIOR_DOCS more at the average rate, less DOUBT standard errors;
+#: words of fewer than LEAST_DOCS documents aren't kept. Calibrated blocks likewise count PRIOR_BLOCK documents at the
+#: trees' own probability.
+PRIOR_DOCS, LEAST_DOCS, DOUBT, PRIOR_BLOCK = 6.0, 3.0, 1.0, 5.0
+
+KINDS = ("insult", "sharp", "harm", "sexual", "group", "shun")
+FEATURES = ("insult insult_near_you insult_plain sharp sharp_near_you harm harm_near_you harm_plain sexual sexual_near_person sexual_plain group shun group_and_shun shun_near_person pointed lists "
+            "density worst worst_code worst_meta worst_self worst_you worst_caps worst_exclaim worst_words worst_disguised worst_learned worst_phrases worst_hits disguised hidden exclaim caps hits_per_word second_rate sentences third "
+            "learned learned_mean learned_best learned_near_you learned_share phrases phrases_mean").split()
 
-FEATURES = ("insult insult_near_you insult_plain sharp sharp_near_you harm harm_near_you harm_plain sexual sexual_near_person sexual_plain group shun group_and_shun shun_near_person lists "
-            "density worst worst_code worst_meta worst_self worst_you worst_caps worst_exclaim worst_words worst_disguised disguised hidden exclaim caps hits_per_word second_rate sentences third").split()
+#: Signs at the edge of a word, and signs that make no word by themselves.
+EDGE, SIGNS = "'’.-!|", "@$*!|’'.-"
 
 
-#: Signs at the edge of a word, signs that make no word, and the length from which a word isn't looked up in disguise.
-EDGE, SIGNS, LONGEST = "'’.-!|", "@'’.-!|", 60
+def _capitals(text: str) -> tuple[int, int]:
+    """Capitals and letters of a text."""
+    if text.isascii():
+        raw = text.encode()
+        small = raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        upper = len(raw) - len(small)
+        return upper, upper + len(small) - len(small.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
+    return sum(map(str.isupper, text)), sum(map(str.isalpha, text))
 
 
-def feature_maker():
-    """A function from text to the list of FEATURES. Made inside a task."""
+def reader():
+    """(sentences, look_up): the sentences of a text as word lists, and what a word is. Made inside a task."""
     import re
     import unicodedata
 
-    kinds = ("insult", "sharp", "harm", "sexual", "group", "shun")
-    stems: dict[str, list[str]] = {}
-    for kind, words in zip(kinds, (lexicon.INSULT, lexicon.SHARP, lexicon.HARM, lexicon.SEXUAL, lexicon.GROUP, lexicon.SHUN)):
+    stems: dict[str, list[int]] = {}
+    for kind, words in enumerate((lexicon.INSULT, lexicon.SHARP, lexicon.HARM, lexicon.SEXUAL, lexicon.GROUP, lexicon.SHUN)):
         for w in words:
-            stems.setdefault(w, []).append(kind)
+            if kind not in stems.setdefault(w, []):
+                stems[w].append(kind)
     heads = {s[:3] for s in stems}
+    longest_stem = max(map(len, stems))
     by_length: dict[tuple[str, int], list[str]] = {}
     for s in stems:
-        if len(s) > 3 and stems[s][0] in ("insult", "sharp", "sexual"):
+        if len(s) > 3 and stems[s][0] in (0, 1, 3, 5):
             for extra in ("", "s", "e", "o", "a"):
                 by_length.setdefault((s[0], len(s + extra)), []).append(s + extra)
-    short = {s for s in stems if len(s) <= 4}
     look = str.maketrans(lexicon.LOOKALIKE)
     spaced = re.compile(r"(?<![\w@*$])(?:\w[ .\-_]){2,}\w(?![\w*$])")
     token = re.compile(r"[\w@$*!|’'.\-]+")
@@ -56,40 +74,48 @@ def feature_maker():
     camel = re.compile(r"[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z]|[\w]-(?:api|lib|core|worker|sync)$|[/_]|\.\w+\.")
     memo: dict[str, tuple] = {}
 
-    def stem_kinds(w: str) -> list[str]:
+    def stem_kinds(w: str) -> list[int]:
         if w[:3] not in heads or w in lexicon.GREETING:
             return []
-        for n in range(len(w), 2, -1):
-            if w[:n] in stems and (n > 4 or len(w) - n <= 2 or w[:n] not in short):
+        for n in range(min(len(w), longest_stem), 2, -1):
+            if w[:n] in stems and (n > 4 or len(w) - n <= 2):
                 return stems[w[:n]]
         return []
 
     def look_up(raw: str) -> tuple:
-        """(kinds, disguised, is second person, is self, is third, is meta, is code)"""
+        """(kinds, disguised, is second person, is self, is third, is meta, is code, plain form)"""
         raw = raw.rstrip(EDGE)
         if raw in memo:
             return memo[raw]
         low = raw.lower()
         plain = low.strip(EDGE)
+        shown = plain
         found, hid = stem_kinds(plain), False
         named = low[:1] == "@" and low[1:].isalnum()
         code = not named and (bool(camel.search(raw)) or plain.isdigit())
-        if not found and not plain.isalpha() or not found and not plain.isascii() or not found and stretched.search(plain):
+        if not found and (not plain.isalpha() or not plain.isascii() or stretched.search(plain)):
             clear = stretched.sub(r"\1", plain.replace(".", "").replace("-", "") if "." in plain or "-" in plain else plain)
-            if len(clear) > LONGEST:
-                pass
-            elif "*" in clear:
-                like = re.compile("".join("." if c == "*" else re.escape(c) for c in clear.translate(look)))
-                near = next((w for w in by_length.get((clear[0].translate(look), len(clear)), ()) if like.fullmatch(w)), None)
-                found = stem_kinds(near) if near else []
+            if "*" in clear:
+                # a masked word may be as long as the longest entry; what is longer stands for none
+                near = None
+                if options := by_length.get((clear[0].translate(look), len(clear))):
+                    like = re.compile("".join("." if c == "*" else re.escape(c) for c in clear.translate(look)))
+                    near = next((w for w in options if like.fullmatch(w)), None)
+                found, shown = (stem_kinds(near), near) if near else ([], plain)
             elif not (plain[:1] == "@" and plain[1:].isalnum() and plain[-1:].isdigit()):
-                found = stem_kinds(clear.translate(look)) or stem_kinds(stretched.sub(r"\1\1", plain).translate(look))
+                for form in (clear.translate(look), stretched.sub(r"\1\1", plain).translate(look)):
+                    if found := stem_kinds(form):
+                        shown = form
+                        break
+                else:
+                    if not code and not named:
+                        shown = clear.translate(look)
             hid = bool(found)
-            if not hid and re.search(r"[*$@]", plain[1:]) and re.search("[a-z]", plain) and not code and "@" != plain[0]:
-                hid = "*" in plain
+            if not hid and "*" in plain and re.search("[a-z]", plain) and not code and "@" != plain[0]:
+                hid = True
         mention = low[:1] == "@" and len(low) > 2 and not hid
-        out = (found, hid, mention or plain in lexicon.SECOND, plain in lexicon.SELF, plain in lexicon.THIRD, plain in lexicon.META, code and not hid)
-        if len(memo) < 500_000 and len(raw) <= LONGEST:
+        out = (found, hid, mention or plain in lexicon.SECOND, plain in lexicon.SELF, plain in lexicon.THIRD, plain in lexicon.META, code and not hid, shown if not code or hid else "")
+        if len(memo) < 500_000 and len(raw) <= 60:
             memo[raw] = out
         return out
 
@@ -98,132 +124,223 @@ def feature_maker():
         word = re.sub(r"[ .\-_]", "", m.group())
         return f"{word[0]} {word[1:]}" if not look_up(word)[0] and look_up(word[1:])[0] else word
 
-    def make(text: str | None) -> list[float]:
-        if not text:
-            return [0.0] * len(FEATURES)
-        hidden_signs = 0
+    def sentences(text: str) -> tuple[int, list[tuple[str, list[str]]]]:
+        """How many hidden characters the text has, and its sentences with their words."""
+        hidden = 0
         if not text.isascii():
             text = unicodedata.normalize("NFKC", text)
             shown = "".join(c for c in text if unicodedata.category(c) != "Cf")
-            hidden_signs, text = len(text) - len(shown), shown
-        joined = spaced.sub(join_spaced, text)
-        top = dict.fromkeys(FEATURES, 0.0)
-        worst, n_words, n_hits, n_second, n_sentences = -1.0, 0, 0, 0, 0
-        for s in sentence.split(joined):
-            words = [w for w in token.findall(s) if w.strip(SIGNS)]
-            if not words:
-                continue
-            n_sentences += 1
+            hidden, text = len(text) - len(shown), shown
+        return hidden, [(s, words) for s in sentence.split(spaced.sub(join_spaced, text)) if (words := [w for w in token.findall(s) if w.strip(SIGNS)])]
+
+    return sentences, look_up
+
+
+def feature_maker(learned: dict | None = None):
+    """A function from text to the list of FEATURES, learned being the log-odds of words and of pairs of them. Made inside a task."""
+    sentences, look_up = reader()
+    at = {f: i for i, f in enumerate(FEATURES)}
+    worst_block = [at[f"worst_{x}"] for x in ("code", "meta", "self", "you", "caps", "exclaim", "words", "disguised", "learned", "phrases", "hits")]
+    weight_of = (learned or {}).get
+
+    def nearest(i: int, others: list[int]) -> float:
+        return max((1 / (1 + abs(i - j)) for j in others), default=0.0)
+
+    def make(text: str | None) -> list[float]:
+        row = [0.0] * len(FEATURES)
+        if not text:
+            return row
+
+        def raise_to(name: str, value: float) -> None:
+            if value > row[at[name]]:
+                row[at[name]] = float(value)
+
+        hidden, parts = sentences(text)
+        worst, n_words, n_hits, n_second = None, 0, 0, 0
+        best_sum = 0.0
+        for s, words in parts:
             n_words += len(words)
             looks = [look_up(w) for w in words]
+            weights = [weight_of(x[7], 0.0) for x in looks]
+            total = sum(weights)
+            phrases = sum(weight_of((a[7], b[7]), 0.0) for a, b in zip(looks, looks[1:]))
             second = [i for i, x in enumerate(looks) if x[2]]
             n_second += len(second)
             hits = [(i, x) for i, x in enumerate(looks) if x[0]]
             disguised = sum(1 for x in looks if x[1])
-            top["disguised"] = max(top["disguised"], disguised)
-            if not hits:
+            if total > best_sum:
+                best_sum = total
+                raise_to("learned", total)
+                raise_to("learned_best", max(weights))
+                if second:
+                    raise_to("learned_near_you", total)
+            raise_to("learned_mean", total / (len(words) + 2))
+            raise_to("learned_share", sum(v > 1 for v in weights) / (len(words) + 2))
+            raise_to("phrases", phrases)
+            raise_to("phrases_mean", phrases / (len(words) + 2))
+            if disguised:
+                raise_to("disguised", disguised)
+            if not hits and total <= 0:
                 continue
             n_hits += len(hits)
-            persons = second + [i for i, x in enumerate(looks) if x[3]]
             third = [i for i, x in enumerate(looks) if x[4]]
+            own = sum(1 for x in looks if x[3])
             code = sum(1 for x in looks if x[6])
             meta = sum(1 for x in looks if x[5])
-            own = sum(1 for x in looks if x[3])
-            count = dict.fromkeys(kinds, 0)
-            near = dict.fromkeys(kinds, 0.0)
-            near_person = dict.fromkeys(kinds, 0.0)
+            score = len(hits) + bool(second) + disguised - code - meta + total / 2
+            if worst is None or score > worst:
+                worst = score
+                upper, letters = _capitals(s)
+                row[at["worst"]] = float(score)
+                for place, value in zip(worst_block, (code, meta, own, len(second), upper / max(letters, 1), s.count("!"), len(words), disguised, total, phrases, len(hits))):
+                    row[place] = float(value)
+                row[at["third"]] = float(len(third))
+            if not hits:
+                continue
+            persons = second + [i for i, x in enumerate(looks) if x[3]]
+            count, near, near_person = [0] * 6, [0.0] * 6, [0.0] * 6
             for i, x in hits:
                 for k in x[0]:
                     count[k] += 1
-                    near[k] = max([near[k], *(1 / (1 + abs(i - j)) for j in second)])
-                    near_person[k] = max([near_person[k], *(1 / (1 + abs(i - j)) for j in persons + third)])
+                    near[k] = max(near[k], nearest(i, second))
+                    near_person[k] = max(near_person[k], nearest(i, persons + third))
             bare = not meta and not code
-            for k in ("insult", "sharp", "harm"):
-                top[f"{k}_near_you"] = max(top[f"{k}_near_you"], near[k])
-            for k in ("insult", "harm", "sexual"):
-                top[f"{k}_plain"] = max(top[f"{k}_plain"], count[k] * bare * (k == "sexual" or not own))
-            for k in kinds:
-                top[k] = max(top[k], count[k])
-            top["sexual_near_person"] = max(top["sexual_near_person"], near_person["sexual"])
-            top["shun_near_person"] = max(top["shun_near_person"], near_person["shun"])
-            top["group_and_shun"] = max(top["group_and_shun"], min(count["group"], count["shun"]) + 0.5 * min(len(third), count["shun"]))
-            lists = sum(1 for k in kinds if count[k])
-            top["lists"] = max(top["lists"], lists)
-            density = len(hits) / len(words)
-            top["density"] = max(top["density"], density)
-            letters = [c for c in s if c.isalpha()]
-            caps = sum(1 for c in letters if c.isupper()) / max(len(letters), 1)
-            score = count["insult"] + count["sexual"] + 0.5 * count["sharp"] + 0.5 * count["harm"] + 0.5 * count["shun"] + 0.25 * count["group"] + 0.5 * bool(second) + disguised - code - meta - 0.5 * own * (not second)
-            if score > worst or worst == -1.0:
-                worst = score
-                top |= {"worst": score, "worst_code": code, "worst_meta": meta, "worst_self": own, "worst_you": len(second), "worst_caps": caps, "worst_exclaim": s.count("!"), "worst_words": len(words), "worst_disguised": disguised, "third": len(third)}
-        letters = sum(1 for c in text if c.isalpha())
-        top |= {"hidden": hidden_signs, "exclaim": text.count("!") / max(n_words, 1), "caps": sum(1 for c in text if c.isupper()) / max(letters, 1), "hits_per_word": n_hits / max(n_words, 1), "second_rate": n_second / max(n_words, 1), "sentences": n_sentences}
-        return [float(top[f]) for f in FEATURES]
+            for k, name in enumerate(KINDS):
+                raise_to(name, count[k])
+            for k in (0, 1, 2):
+                raise_to(f"{KINDS[k]}_near_you", near[k])
+            for k in (0, 2, 3):
+                raise_to(f"{KINDS[k]}_plain", count[k] * bare * (k == 3 or not own))
+            raise_to("sexual_near_person", near_person[3])
+            raise_to("shun_near_person", near_person[5])
+            if count[5] or count[2] or count[0]:
+                low = [w.lower() for w in words]
+                pointed = sum(a in lexicon.POINTING and b.isalpha() and len(b) > 3 and b not in lexicon.META for a, b in zip(low, low[1:])) + sum(len(b) > 5 and b.endswith(lexicon.DEMONYM) and b not in lexicon.META for b in low)
+                raise_to("pointed", min(pointed, count[5] + count[2] + count[0]))
+            raise_to("group_and_shun", min(count[4], count[5]) + 0.5 * min(len(third), count[5]))
+            raise_to("lists", sum(1 for c in count if c))
+            raise_to("density", len(hits) / len(words))
+        upper, letters = _capitals(text)
+        for name, value in (("hidden", hidden), ("exclaim", text.count("!") / max(n_words, 1)), ("caps", upper / max(letters, 1)), ("hits_per_word", n_hits / max(n_words, 1)), ("second_rate", n_second / max(n_words, 1)), ("sentences", len(parts))):
+            row[at[name]] = float(value)
+        return row
 
     return make
 
 
-def _base(x):
-    """The margin to start from: the worst sentence by the lexicon alone."""
-    return 2.0 * (x[:, FEATURES.index("worst")] - 0.7).clip(-2, 1.5)
-
-
-def _features(batches: Iterator) -> Iterator:
+def _counted_words(batches: Iterator) -> Iterator:
+    """Rows (fold, text, y, w) to one row for each distinct word of each text."""
     import pyarrow as pa
 
-    make = feature_maker()
+    sentences, look_up = reader()
     for b in batches:
-        rows = [make(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64())), b.column(2), b.column(3)], names=["key", "x", "y", "w"])
+        for fold, text, y, w in zip(*(b.column(i).to_pylist() for i in range(4))):
+            found: set[tuple[str, str]] = set()
+            for _, ws in sentences(text or "")[1]:
+                plain = [look_up(x)[7] for x in ws]
+                found.update((x, "") for x in plain if x)
+                found.update(x for x in zip(plain, plain[1:]) if all(x))
+            words = sorted(found)
+            for a in range(0, len(words), 50_000):
+                part = words[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*part)), pa.array([fold] * len(part), pa.int32()), pa.array([y * w] * len(part)), pa.array([w] * len(part))], names=["word", "then", "fold", "bad", "all"])
+
+
+def log_odds(counts: dict, rate: float) -> dict:
+    """Words, and pairs of words, to their shrunk log-odds of abuse beyond the average; counts: word to (abusive, all) documents."""
+    import math
+
+    average = math.log(rate / (1 - rate))
+    out = {}
+    for word, (bad, n) in counts.items():
+        if n >= LEAST_DOCS:
+            bad, n = bad + PRIOR_DOCS * rate, n + PRIOR_DOCS
+            odds = math.log(bad / (n - bad)) - average
+            doubt = DOUBT * math.sqrt(1 / bad + 1 / (n - bad))
+            if abs(odds) > doubt:
+                out[word] = odds - math.copysign(doubt, odds)
+    return out
 
 
 def fit_abuse(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, max_labels: int = MAX_LABELS) -> dict:
-    """The model: trees, and isotonic knots over margins. labels: doc_id and label; judgements other than 0 and 1 are left out.
+    """The model: intercept, trees, learned words and isotonic knots. labels: doc_id and label; judgements other than 0 and 1 are left out.
 
-    Contradicting judgements of a document make a soft target. The fewer judgements there are, the fewer trees are
-    grown and the less the calibration counts against the plain logistic of the margin. Without judgements of both
-    kinds the lexicon margin alone is used, uncalibrated.
+    Contradicting judgements of a document make a soft target. A doc_id that several rows of docs share is judged in
+    each of them, as far as the bound goes. Without judgements of both kinds there is nothing to learn from, and the
+    general lists are the score's only ground (see score_abuse).
     """
     import numpy as np
 
     judged = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     judged = bounded_sample(judged, "key", max_labels, judged.count())
     sample = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(judged), "key")
-    rows = sample.select("key", "text", "y", "w").mapInArrow(_features, f"key {dict(docs.dtypes)[doc_id]}, x array<double>, y double, w double").collect()
-    rows = sorted(rows, key=lambda r: (str(r["key"]), r["x"]))[: 2 * max_labels]
-    y = np.array([r["y"] for r in rows])
-    if not len(rows) or y.max() < 0.5 or y.min() >= 0.5:
-        return {"trees": [], "knots": None, "trust": 0.0}
-    x, w = np.array([r["x"] for r in rows]), np.array([r["w"] for r in rows])
-    n_trees = int(min(boost.TREES, max(LEAST_TREES, len(y) // ROWS_A_TREE)))
-    fold = np.arange(len(y)) % FOLDS
-    held_out = np.empty(len(y))
-    for k in range(FOLDS):
-        at = fold == k
-        if at.any() and (~at).any():
-            held_out[at] = boost.margins(boost.fit_trees(x[~at], y[~at], w[~at], _base(x[~at]), n_trees), x[at], _base(x[at]))
-    abusive = float((w * y).sum())
-    return {"trees": boost.fit_trees(x, y, w, _base(x), n_trees), "knots": boost.isotonic(held_out, y, w), "trust": abusive / (abusive + HALF_TRUST)}
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int"))
+    totals = {r["fold"]: (r["bad"], r["all"], r["top"], r["low"]) for r in sample.groupBy("fold").agg(F.sum(F.col("y") * F.col("w")).alias("bad"), F.sum("w").alias("all"), F.max("y").alias("top"), F.min("y").alias("low")).collect()}
+    if not totals or max(t[2] for t in totals.values()) < 0.5 or min(t[3] for t in totals.values()) >= 0.5:
+        return {"trees": [], "words": {}, "start": None, "knots": None}
+    bad, n = (sum(t[i] for t in totals.values()) for i in (0, 1))
+    rate = bad / n
+    by_word: dict[str | tuple[str, str], dict[int, tuple[float, float]]] = {}
+    counted = sample.select("fold", "text", "y", "w").mapInArrow(_counted_words, "word string, then string, fold int, bad double, all double").groupBy("word", "then", "fold").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
+    kept = counted.groupBy("word", "then").agg(F.sum("all").alias("n"), F.collect_list(F.struct("fold", "bad", "all")).alias("folds")).where(F.col("n") >= LEAST_DOCS)  # at most FOLDS entries
+    for r in kept.collect():
+        by_word[(r["word"], r["then"]) if r["then"] else r["word"]] = {e["fold"]: (e["bad"], e["all"]) for e in r["folds"]}
+    whole = {w: tuple(map(sum, zip(*folds.values()))) for w, folds in by_word.items()}
+    without = {}
+    for fold, (fold_bad, fold_all, _, _) in totals.items():
+        left = {w: (b - folds.get(fold, (0, 0))[0], a - folds.get(fold, (0, 0))[1]) for (w, (b, a)), folds in zip(whole.items(), by_word.values())}
+        rest = (bad - fold_bad) / max(n - fold_all, 1e-9)
+        without[fold] = log_odds(left, min(max(rest, 1e-3), 1 - 1e-3))
+    words = log_odds(whole, rate)
+
+    sent = docs.sparkSession.sparkContext.broadcast(without)
+
+    def features(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        makers: dict = {}
+        for b in batches:
+            rows = []
+            for fold, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if fold not in makers:
+                    makers[fold] = feature_maker(sent.value[fold])
+                rows.append(makers[fold](t))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64())), b.column(2), b.column(3)], names=["fold", "x", "y", "w"])
+
+    # a key that rows of docs share without end is bounded here: the rows with the smallest hash of their features
+    made = sample.select("fold", "text", "y", "w").mapInArrow(features, "fold int, x array<double>, y double, w double")
+    rows = made.orderBy(F.xxhash64("x", "y", "w", "fold")).limit(2 * max_labels).collect()
+    y, w, fold = (np.array([r[c] for r in rows]) for c in ("y", "w", "fold"))
+    x = np.array([r["x"] for r in rows])
+    model = boost.fit_folds(x, y, w, fold)
+    return {"trees": model["trees"], "words": words, "start": model["start"], "knots": boost.isotonic(model["held_out"], y, w, PRIOR_BLOCK)}
 
 
 def score_abuse(docs: DataFrame, doc_id: str, text: str, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score in [0, 1] and the columns keep, one row for each row of docs; null and empty texts score 0."""
+    """doc_id, score in [0, 1] and the columns keep, one row for each row of docs; null and empty texts score 0.
+
+    Of a model without anything learned, the score is w / (w + 2), w being the worst sentence's count of hits and signs
+    of abuse.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        make = feature_maker()
+        learned = sent.value
+        make = feature_maker(learned["words"])
         for b in batches:
             if not b.num_rows:
                 continue
             texts = b.column(1).to_pylist()
             x = np.array([make(t) for t in texts])
-            m = boost.margins(model["trees"], x, _base(x))
-            score = 1 / (1 + np.exp(-m))
-            if model["knots"]:
-                score += model["trust"] * (np.interp(m, *model["knots"]) - score)
+            if learned["start"] is not None:
+                m = boost.margins(learned["trees"], x, boost.linear(learned["start"], x))
+                score = np.interp(m, *learned["knots"])
+            else:
+                worst = x[:, FEATURES.index("worst")].clip(0, None)
+                score = worst / (worst + 2)
             score[[not t for t in texts]] = 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *b.columns[2:]], names=[doc_id, "score", *keep])
 

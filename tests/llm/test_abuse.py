@@ -1,6 +1,6 @@
 import numpy as np
 from graphloom.llm import boost
-from graphloom.llm.abuse import FEATURES, feature_maker, fit_abuse, score_abuse
+from graphloom.llm.abuse import FEATURES, feature_maker, fit_abuse, log_odds, score_abuse
 
 DOCS, LABELS = "doc_id bigint, text string, y string, x string, score int", "doc_id bigint, is_abusive int, w string, key int"
 
@@ -9,11 +9,15 @@ def test_trees_and_isotonic_fit():
     r = np.random.default_rng(0)
     x = r.random((600, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
-    trees = boost.fit_trees(x[:400], y[:400], np.ones(400), np.zeros(400))
-    m = boost.margins(trees, x[400:], np.zeros(200))
+    model = boost.fit_folds(x[:400], y[:400], np.ones(400), np.arange(400) % 5)
+    m = boost.margins(model["trees"], x[400:], boost.linear(model["start"], x[400:]))
     assert ((m > 0) == (y[400:] > 0)).mean() > 0.93
     xs, ys = boost.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert ys == sorted(ys) and np.interp(2.5, xs, ys) == 0.5
+    shrunk = boost.isotonic(np.array([-3.0, 3.0]), np.array([0.0, 1.0]), np.ones(2), 1.0)[1]
+    assert 0 < shrunk[0] < 0.05 and 0.95 < shrunk[1] < 1
+    alone = boost.fit_folds(x[:3], np.array([0.0, 1, 1]), np.ones(3), np.zeros(3, int))
+    assert np.isfinite(alone["held_out"]).all()
 
 
 def test_features_see_through_disguise():
@@ -28,6 +32,15 @@ def test_features_see_through_disguise():
         assert len(make(long)) == len(FEATURES)
 
 
+def test_words_are_learned_against_chance(spark):
+    odds = log_odds({"bad": (40.0, 40.0), "rare": (2.0, 2.0), "odd": (3.0, 3.0), "fine": (0.0, 400.0), ("so", "bad"): (9.0, 9.0)}, 0.2)
+    assert odds["bad"] > odds["so", "bad"] > odds.get("odd", 0.0) and odds["fine"] < 0 and "rare" not in odds
+    make = feature_maker(odds)
+    at = lambda text, f: make(text)[FEATURES.index(f)]
+    assert at("It is so bad. Fine.", "learned") == odds["bad"] and at("so bad", "phrases") == odds["so", "bad"] and at("nothing here", "learned") == 0
+    assert at("Those varmians are vermin", "pointed") > 0
+
+
 def corpus():
     rude = ["You are a {} idiot.", "Shut up, you {} moron!", "Get lost, {} scumbag, nobody can stand you."]
     calm = ["The {} parser returns early.", "Kill the {} child process and reap the zombie.", "I was an idiot to trust the {} cache.", "The {} test masks the word moron."]
