@@ -15,6 +15,7 @@ but through the data. Scoring is one pass over the documents without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,9 @@ def reader():
     import re
     import unicodedata
 
+    import regex
+
+    format_signs = regex.compile(r"\p{Cf}+")
     stems: dict[str, list[int]] = {}
     for kind, words in enumerate((lexicon.INSULT, lexicon.SHARP, lexicon.HARM, lexicon.SEXUAL, lexicon.GROUP, lexicon.SHUN)):
         for w in words:
@@ -129,9 +133,9 @@ def reader():
         hidden = 0
         if not text.isascii():
             text = unicodedata.normalize("NFKC", text)
-            shown = "".join(c for c in text if unicodedata.category(c) != "Cf")
+            shown = format_signs.sub("", text)
             hidden, text = len(text) - len(shown), shown
-        return hidden, [(s, words) for s in sentence.split(spaced.sub(join_spaced, text)) if (words := [w for w in token.findall(s) if w.strip(SIGNS)])]
+        return hidden, [(s, words) for s in sentence.split(spaced.sub(join_spaced, text)) if (words := token.findall(s))]
 
     return sentences, look_up
 
@@ -141,7 +145,27 @@ def feature_maker(learned: dict | None = None):
     sentences, look_up = reader()
     at = {f: i for i, f in enumerate(FEATURES)}
     worst_block = [at[f"worst_{x}"] for x in ("code", "meta", "self", "you", "caps", "exclaim", "words", "disguised", "learned", "phrases", "hits")]
-    weight_of = (learned or {}).get
+    single = {w: v for w, v in (learned or {}).items() if isinstance(w, str)}
+    pairs: dict[str, dict[str, float]] = {}
+    for w, v in (learned or {}).items():
+        if not isinstance(w, str):
+            pairs.setdefault(w[0], {})[w[1]] = v
+    followers, can_raise = {w for after in pairs.values() for w in after}, itemgetter(10)
+    known: dict[str, tuple] = {}
+    no_word, dull = ([], *[False] * 6, "", 0.0, None, False), ([], *[False] * 6, "\n", 0.0, None, False)
+
+    def read(w: str) -> tuple:
+        """What look_up says, the word's weight, those of what may follow it, and whether it can raise a feature."""
+        x = look_up(w)
+        weight = single.get(x[7], 0.0)
+        out = (*x, weight, pairs.get(x[7]), bool(x[0]) or x[1] or weight > 0)
+        if not w.strip(SIGNS):
+            out = no_word
+        elif x[7] not in followers and not any(out[i] for i in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10)):
+            out = dull
+        if len(known) < 500_000 and len(w) <= 60:
+            known[w] = out
+        return out
 
     def nearest(i: int, others: list[int]) -> float:
         return max((1 / (1 + abs(i - j)) for j in others), default=0.0)
@@ -159,15 +183,23 @@ def feature_maker(learned: dict | None = None):
         worst, n_words, n_hits, n_second = None, 0, 0, 0
         best_sum = 0.0
         for s, words in parts:
+            looks = [known.get(w) or read(w) for w in words]
             n_words += len(words)
-            looks = [look_up(w) for w in words]
-            weights = [weight_of(x[7], 0.0) for x in looks]
-            total = sum(weights)
-            phrases = sum(weight_of((a[7], b[7]), 0.0) for a, b in zip(looks, looks[1:]))
-            second = [i for i, x in enumerate(looks) if x[2]]
+            if not any(map(can_raise, looks)):
+                continue
+            if no_word in looks:
+                words = [w for w, x in zip(words, looks) if x is not no_word]
+                looks = [x for x in looks if x is not no_word]
+            bright = [i for i, x in enumerate(looks) if x is not dull]
+            second = [i for i in bright if looks[i][2]]
             n_second += len(second)
-            hits = [(i, x) for i, x in enumerate(looks) if x[0]]
-            disguised = sum(1 for x in looks if x[1])
+            phrases = sum(looks[i][9].get(looks[i + 1][7], 0.0) for i in bright if looks[i][9] and i + 1 < len(looks))
+            raise_to("phrases", phrases)
+            raise_to("phrases_mean", phrases / (len(words) + 2))
+            weights = [looks[i][8] for i in bright]
+            total = sum(weights)
+            hits = [(i, looks[i]) for i in bright if looks[i][0]]
+            disguised = sum(1 for i in bright if looks[i][1])
             if total > best_sum:
                 best_sum = total
                 raise_to("learned", total)
@@ -176,17 +208,15 @@ def feature_maker(learned: dict | None = None):
                     raise_to("learned_near_you", total)
             raise_to("learned_mean", total / (len(words) + 2))
             raise_to("learned_share", sum(v > 1 for v in weights) / (len(words) + 2))
-            raise_to("phrases", phrases)
-            raise_to("phrases_mean", phrases / (len(words) + 2))
             if disguised:
                 raise_to("disguised", disguised)
             if not hits and total <= 0:
                 continue
             n_hits += len(hits)
-            third = [i for i, x in enumerate(looks) if x[4]]
-            own = sum(1 for x in looks if x[3])
-            code = sum(1 for x in looks if x[6])
-            meta = sum(1 for x in looks if x[5])
+            third = [i for i in bright if looks[i][4]]
+            own = sum(1 for i in bright if looks[i][3])
+            code = sum(1 for i in bright if looks[i][6])
+            meta = sum(1 for i in bright if looks[i][5])
             score = len(hits) + bool(second) + disguised - code - meta + total / 2
             if worst is None or score > worst:
                 worst = score
@@ -197,7 +227,7 @@ def feature_maker(learned: dict | None = None):
                 row[at["third"]] = float(len(third))
             if not hits:
                 continue
-            persons = second + [i for i, x in enumerate(looks) if x[3]]
+            persons = second + [i for i in bright if looks[i][3]]
             count, near, near_person = [0] * 6, [0.0] * 6, [0.0] * 6
             for i, x in hits:
                 for k in x[0]:
