@@ -1,22 +1,25 @@
 """Traversal of the relation graph, one join per level.
 
+The steps that the caller may take are held for the traversal (adjacency), so that levels read neither relations nor
+nodes again.
 Frontier and visited sets are DataFrames, cut after every level so that plans stay flat and lost executors cost one
-level. Only counts come to the driver. A frontier is broadcast while it is small (FRONTIER rows), so a level is a scan
-of the relations without a shuffle of them; larger frontiers join by shuffle. Frontier nodes are known to be visible,
-so only what a level finds is checked against the visible nodes, not every relation.
+level; the cut counts its rows, and only counts come to the driver. Sets are broadcast while they are small (FRONTIER
+rows), so a level is a scan of the steps without a shuffle of them; larger ones join by shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from graphloom.operators.scope import scoped_relations
 from graphloom.schema import TRAVERSED
-from graphloom.sources.tables import cut
+from graphloom.sources.tables import cut, cut_counted
 
 #: Frontiers of up to so many rows are broadcast.
 FRONTIER = 100_000
@@ -43,28 +46,46 @@ def directed_edges(relations: DataFrame, nodes: DataFrame, types: list[str] | No
     return steps(scoped_relations(relations.select("from_id", "to_id", "rel_type"), nodes), types, direction)
 
 
+@contextmanager
+def adjacency(edges: DataFrame, nodes: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """here, there, rel_type if edges have it, and columns of the node there: the steps that end at one of nodes, held for all levels.
+
+    nodes have one row each id. Frontier nodes are among them already, so what starts elsewhere is never stepped on.
+    Executors hold the steps in memory and on disk; what is lost with one is computed again from the relations.
+    """
+    ends = nodes.select(F.col("id").alias("there"), *columns)
+    kept = edges.where("here IS NOT NULL").join(ends, "there") if columns else edges.where("here IS NOT NULL").join(ends, "there", "left_semi")
+    kept.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def levels(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int, include_start: bool = False) -> DataFrame:
     """id, hop: the least number of steps, 1 to max_depth, from any of start (column id) through nodes alone.
 
     start must be among nodes. With include_start a start that is met again (on a cycle) is listed with its hop,
-    otherwise starts are left out.
+    otherwise starts are left out. A level is one job: a join with the frontier and one with what is known already,
+    both broadcast while they are small.
     """
     if max_depth < 1:
         raise ValueError("max_depth must be at least 1")
-    frontier = cut(start.select("id").distinct())
-    known = None if include_start else frontier
-    found, rows = None, frontier.count()
-    for hop in range(1, max_depth + 1):
-        if not rows:
-            break
-        met = edges.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").select(F.col("there").alias("id")).distinct()
-        met = cut(met if known is None else met.join(known, "id", "left_anti"))
-        frontier = cut(nodes.select("id").join(_small(met, met.count()), "id").distinct())
-        rows = frontier.count()
-        known = frontier if known is None else known.unionByName(frontier)
-        level = frontier.select("id", F.lit(hop).alias("hop"))
-        found = level if found is None else found.unionByName(level)
-    return found if found is not None else frontier.select("id", F.lit(0).alias("hop")).limit(0)
+    frontier, rows = cut_counted(start.select("id").distinct())
+    if not rows:
+        return frontier.select("id", F.lit(0).alias("hop")).limit(0)
+    known, n_known = (None, 0) if include_start else (frontier, rows)
+    found = None
+    with adjacency(edges.select("here", "there"), nodes) as inside:
+        for hop in range(1, max_depth + 1):
+            met = inside.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").select(F.col("there").alias("id")).distinct()
+            frontier, rows = cut_counted(met if known is None else met.join(_small(known, n_known), "id", "left_anti"))
+            known, n_known = frontier if known is None else known.unionByName(frontier), n_known + rows
+            level = frontier.select("id", F.lit(hop).alias("hop"))
+            found = level if found is None else found.unionByName(level)
+            if not rows:
+                break
+    return found
 
 
 def reach_reverse(nodes: DataFrame, relations: DataFrame, entry: str, max_depth: int, domain: str | None = None, repo: str | None = None, limit: int = 200, types: list[str] = TRAVERSED) -> DataFrame:
@@ -98,32 +119,28 @@ def impact_levels(nodes: DataFrame, relations: DataFrame, entry: str, max_depth:
     for name, value in (("domain", domain), ("repo", repo)):
         if value is not None:
             allowed = allowed.where(F.col(name) == value)
-    edges = steps(relations, TRAVERSED, "reverse")
-    frontier = cut(nodes.where(F.col("id") == entry).select("id").distinct())
-    visited = frontier.unionByName(frontier.sparkSession.createDataFrame([(entry,)], "id string")).distinct()
-    explored = 0
-    known, rows = True, frontier.count()
-    for depth in range(1, max_depth + 1):
-        if not known:
-            break
-        step = edges.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").groupBy(F.col("there").alias("id")).agg(F.min("rel_type").alias("edge_type"))
-        step = cut(step.join(visited.select("id"), "id", "left_anti"))
-        new = allowed.select("id", "domain").join(_small(step, step.count()), "id")
-        room = max_nodes - explored
-        new = cut(new.orderBy("id").limit(room + 1))
-        count = new.count()
-        truncated = count > room
-        level = new.orderBy("id").limit(room) if truncated else new
-        size = min(count, room)
-        explored += size
-        yield (
-            level.select(F.col("id").alias("node_id"), "domain", F.lit(depth).alias("hop"), "edge_type"),
-            {"nodes_explored": explored, "frontier_size": size, "current_depth": depth, "truncated": truncated},
-        )
-        if truncated:
-            return
-        frontier, rows, known = level.select("id"), size, size > 0
-        visited = visited.unionByName(frontier)
+    frontier, rows = cut_counted(nodes.where(F.col("id") == entry).select("id").distinct())
+    if not rows:
+        nothing = frontier.select(F.col("id").alias("node_id"), F.lit("").alias("domain"), F.lit(1).alias("hop"), F.lit("").alias("edge_type"))
+        yield nothing, {"nodes_explored": 0, "frontier_size": 0, "current_depth": 1, "truncated": False}
+        return
+    visited, n_visited, explored = frontier, 1, 0
+    with adjacency(steps(relations, TRAVERSED, "reverse"), allowed, "domain") as inside:
+        for depth in range(1, max_depth + 1):
+            met = inside.join(_small(frontier.withColumnRenamed("id", "here"), rows), "here").groupBy(F.col("there").alias("id"), "domain").agg(F.min("rel_type").alias("edge_type"))
+            new, count = cut_counted(met.join(_small(visited, n_visited), "id", "left_anti"))
+            room = max_nodes - explored
+            truncated = count > room
+            level, rows = (new.orderBy("id").limit(room), room) if truncated else (new, count)
+            explored += rows
+            yield (
+                level.select(F.col("id").alias("node_id"), "domain", F.lit(depth).alias("hop"), "edge_type"),
+                {"nodes_explored": explored, "frontier_size": rows, "current_depth": depth, "truncated": truncated},
+            )
+            if truncated or not rows:
+                return
+            frontier = level.select("id")
+            visited, n_visited = visited.unionByName(frontier), n_visited + rows
 
 
 EVENTS = "event_kind string, node_id string, domain string, hop int, edge_type string, impact_kind string, nodes_explored int, frontier_size int, truncated boolean"
