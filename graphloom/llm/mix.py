@@ -10,6 +10,7 @@ prefix sums over hash buckets of about BUCKET documents and then within each buc
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,14 +110,16 @@ def mix_sources(
 
     targets: source, target_weight, max_repeats. Weights are scaled to the sources that have documents. use counts from
     0; equal texts are one text, used through its lowest doc_id and under that document's source, so no text is used
-    more often than its max_repeats (null: once). A source's last document may pass its demand by part of its size.
-    Null and empty texts, and sources without positive weight, are not used. Nothing to mix gives no rows.
+    more often than its max_repeats (null: once). A source's last document is taken if that brings it nearer to its
+    demand, so that it misses that by half a document at most. Null and empty texts, and sources without positive weight, are not used. Nothing to mix gives no rows.
     """
     if shortfall not in ("refill", "shrink"):
         raise ValueError("shortfall is refill or shrink")
     spark, kind = docs.sparkSession, dict(docs.dtypes)[doc_id]
+    if os.path.getsize(tokenizer) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary may have {MAX_VOCABULARY} bytes")
     with open(tokenizer, "rb") as f:
-        ranks = f.read(MAX_VOCABULARY)
+        ranks = f.read()
     wanted = _targets(targets)
     empty = spark.createDataFrame([], f"position double, source string, doc_id {kind}, use int, n_tokens bigint")
     if not wanted:
@@ -156,7 +159,7 @@ def mix_sources(
     sums = sums.withColumn("before", before).drop("in_bucket")
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("mark", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     placed = units.withColumn("inside", inside).drop("buckets").join(sums, ["source", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).join(plan, "source")
-    n_uses = F.least(F.ceil((F.col("demand") - F.col("start")) / F.col("tokens")), F.col("repeats").cast("bigint"))
+    n_uses = F.least(F.floor((F.col("demand") - F.col("start") - F.col("n_tokens") / 2) / F.col("tokens")) + 1, F.col("repeats").cast("bigint"))
     uses = placed.withColumn("n_uses", n_uses).where("n_uses > 0").withColumn("use", F.explode(F.sequence(F.lit(0), (F.col("n_uses") - 1).cast("int"))))
     # invert the cumulative demand: the piece of the curve, then the root of its quadratic
     share = (F.col("use") * F.col("tokens") + F.col("start")) / F.col("demand")
@@ -172,15 +175,18 @@ def mix_sources(
 def reached_shares(mix: DataFrame, docs: DataFrame, source: str, targets: DataFrame) -> DataFrame:
     """source, target_share, actual_share, n_tokens, n_uses, most_uses, n_docs of every source of docs or targets.
 
-    target_share: the weight over the sum of all positive weights, null without a target weight. actual_share: tokens
-    used over all tokens used, 0 for a source that gives none.
+    target_share: the weight over the sum of all positive weights of sources that have documents, which is what the mix
+    is scaled to; 0 for a source without documents, null without a target weight. actual_share: tokens used over all tokens used, 0 for a source that
+    gives none.
     """
-    used = mix.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_uses"), (F.max("use") + 1).cast("bigint").alias("most_uses"))
-    there = docs.groupBy(normal_source(F.col(source)).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
+    used = cut(mix.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_uses"), (F.max("use") + 1).cast("bigint").alias("most_uses")))
+    there = cut(docs.groupBy(normal_source(F.col(source)).alias("source")).agg(F.count(F.lit(1)).alias("n_docs")))
     goal = targets.groupBy(normal_source(F.col("source")).alias("source")).agg(F.max("target_weight").alias("weight"))
-    goal = goal.withColumn("target_share", F.col("weight") / F.sum(F.when(F.col("weight") > 0, F.col("weight"))).over(Window.partitionBy()))
+    whole = goal.where("weight > 0").join(there, "source", "left_semi").agg(F.sum("weight")).first()[0]
+    size = used.agg(F.sum("n_tokens")).first()[0]
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    rows = there.join(goal, same(there, goal), "full").select(F.coalesce(there["source"], goal["source"]).alias("source"), "n_docs", "target_share").join(used, "source", "left")
+    share = F.col("weight") / F.lit(whole).cast("double")
+    rows = there.join(goal, same(there, goal), "full").select(F.coalesce(there["source"], goal["source"]).alias("source"), "n_docs", F.when(F.col("n_docs").isNotNull() | (F.col("weight") <= 0), share).otherwise(F.when(F.col("weight").isNotNull(), 0.0)).alias("target_share")).join(used, "source", "left")
     n = F.coalesce("n_tokens", F.lit(0))
-    actual = n / F.sum("n_tokens").over(Window.partitionBy())
+    actual = n / F.lit(size).cast("double")
     return rows.select("source", "target_share", F.coalesce(actual, F.lit(0.0)).alias("actual_share"), n.alias("n_tokens"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

@@ -48,6 +48,8 @@ def test_shares_caps_and_positions(spark):
         if shortfall == "shrink":
             for s, want in (("large_src", 0.5), ("small", 0.1), ("middle", 0.4)):
                 assert abs(report[s]["actual_share"] - want) < 0.03
+                assert abs(report[s]["n_tokens"] - want * sum(r["n_tokens"] for r in rows)) <= max(r["n_tokens"] for r in rows)
+                assert abs(report[s]["target_share"] - want) < 1e-9
         else:
             assert report["small"]["most_uses"] == 4  # exhausted
 
@@ -61,6 +63,15 @@ def test_the_curriculum_leans(spark):
     assert abs(mean("large_src") - 11 / 18) < 0.02  # of one that rises over the first half and stays
 
 
+def test_a_vocabulary_too_large_is_refused(spark, tmp_path, monkeypatch):
+    docs, targets = frames(spark, *corpus())
+    path = tmp_path / "v.tiktoken"
+    path.write_bytes(b"YQ== 0\n" * 10)
+    monkeypatch.setattr("graphloom.llm.mix.MAX_VOCABULARY", 20)
+    with pytest.raises(ValueError):
+        mix_sources(docs, "doc_id", "text", "source", targets, tokenizer=str(path))
+
+
 def test_nothing_to_mix(spark):
     docs, targets = frames(spark, [], corpus()[1])
     assert mix_sources(docs, "doc_id", "text", "source", targets).count() == 0
