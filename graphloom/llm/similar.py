@@ -1,6 +1,6 @@
 """The most similar vectors of every vector, through shifted space-filling curves.
 
-Vectors are projected ORDERINGS times, or more often where their model is large, each time onto DIMS random orthonormal directions with a random shift, and
+Vectors are projected several times, as often as their model needs, each time onto DIMS random orthonormal directions with a random shift, and
 placed on a Hilbert curve; each ordering is range-partitioned and sorted by curve position in Spark. In every sorted
 partition, windows of WINDOW consecutive vectors meet themselves and their neighbour windows by matrix product, and
 the best of each vector are reranked in double precision; the finds of all orderings are merged.
@@ -9,7 +9,7 @@ Equal vectors are folded to one representative first and only expanded to the id
 similar, so a group of copies that holds a third of all rows neither fills the windows nor makes pairs of all copies.
 
 The index (centre and spread of the projections, per model) is fitted on the SAMPLE vectors with the smallest hash (more
-where orderings of over a million vectors are chosen); every vector is indexed.
+where orderings of over a million vectors are chosen), and so is the number of orderings; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from graphloom.operators.skew import join_counted
 from graphloom.sources import cut
 
 ORDERINGS, DIMS, BITS, WINDOW, SAMPLE, SEED = 16, 8, 7, 1024, 8192, 20260
-#: ORDERINGS meet neighbours of at least the similarity CLOSE at any size. Where others are wanted, a model of more than
-#: three windows gets as many orderings as let up to PROBES of its vectors meet the part RECALL of their true neighbours.
-CLOSE, PROBES, RECALL = 0.9, 512, 0.93
+#: A model of more than three windows gets as many orderings, at least FEWEST, as let up to PROBES of its vectors meet the
+#: part RECALL of their true neighbours; of those of a similarity of CLOSE and more, where only such are wanted, CLOSE_PROBES
+#: of them the part CLOSE_RECALL. Other models, and those whose probes have no neighbour, get ORDERINGS.
+PROBES, RECALL = 512, 0.93
+CLOSE, CLOSE_PROBES, CLOSE_RECALL, FEWEST = 0.9, 2048, 0.999, 4
 #: Windows of a range partition. Vectors at a partition's ends lack a neighbour window there, in that ordering only.
 WINDOWS_A_PART = 32
 
@@ -88,11 +90,12 @@ def _matrix(column, dim: int):
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def _fit(reps: DataFrame, dim: int, total: int, k: int, sizes: dict) -> tuple[list, dict, dict]:
+def _fit(reps: DataFrame, dim: int, total: int, k: int, sizes: dict, least: float | None) -> tuple[list, dict, dict]:
     """Projections; by model the centre and spread in each of them, from a sample; the orderings that models of sizes need."""
     import numpy as np
 
     # ranks among the sampled vectors must tell apart what windows do
+    n_probes, recall = (CLOSE_PROBES, CLOSE_RECALL) if least is not None and least >= CLOSE else (PROBES, RECALL)
     wanted = max(SAMPLE, 8 * total // WINDOW) if sizes else SAMPLE
     sample = bounded_sample(reps.select("model", "vec", "rid"), "rid", wanted, total).collect()
     random = np.random.default_rng(SEED)
@@ -104,7 +107,7 @@ def _fit(reps: DataFrame, dim: int, total: int, k: int, sizes: dict) -> tuple[li
         v = np.frombuffer(bytes(r["vec"]), dtype=np.float32)
         by_model.setdefault(r["model"], []).append(v / np.linalg.norm(v.astype(np.float64)))
         by_model.setdefault(None, []).append(by_model[r["model"]][-1])
-        if r["model"] in sizes and len(probes.setdefault(r["model"], [])) < PROBES:
+        if r["model"] in sizes and len(probes.setdefault(r["model"], [])) < n_probes:
             probes[r["model"]].append((r["rid"], by_model[r["model"]][-1]))
     by_model = {m: np.array(vs) for m, vs in by_model.items() if m is None or len(vs) >= 64}
     fitted: dict = {m: [] for m in by_model}
@@ -116,15 +119,14 @@ def _fit(reps: DataFrame, dim: int, total: int, k: int, sizes: dict) -> tuple[li
                 p = vs @ bases[-1][0]
                 fitted[m].append((p.mean(0), p.std(0) + 1e-9))
 
-    extend(ORDERINGS)
     orderings: dict = {}
-    true = _true_neighbours(reps, probes, dim, k) if probes else {}
+    true = _true_neighbours(reps, probes, dim, k, least) if probes else {}
     for m, pairs in true.items():
         own, n = by_model.get(m, by_model[None]), sizes[m]
         a, b = (np.array(x) for x in zip(*pairs))
         missed, o = np.ones(len(a)), 0
         # at n / WINDOW orderings, comparing all pairs would cost less
-        while o < ORDERINGS or (1 - missed.mean() < RECALL and o < n / WINDOW):
+        while o < FEWEST or (1 - missed.mean() < recall and o < n / WINDOW):
             extend(o + 1)
             (basis, shift), (centre, spread) = bases[o], fitted.get(m, fitted[None])[o]
             known, at, other = (_keys((x @ basis - centre) / spread, shift) for x in (own, a, b))
@@ -133,6 +135,7 @@ def _fit(reps: DataFrame, dim: int, total: int, k: int, sizes: dict) -> tuple[li
             missed *= 1 - np.clip(2 - apart / WINDOW, 0, 1)  # one window apart they meet, two they don't
             o += 1
         orderings[m] = o
+    extend(ORDERINGS)
     return bases, fitted, orderings
 
 
@@ -143,8 +146,8 @@ def _keys(scaled, shift):
     return hilbert_keys(np.clip((scaled + shift + 4) * ((1 << BITS) / 8), 0, (1 << BITS) - 1).astype(np.int64), BITS)
 
 
-def _true_neighbours(reps: DataFrame, probes: dict, dim: int, k: int) -> dict:
-    """By model the pairs (unit vector of a probe, that of one of its k nearest), from all vectors of the model."""
+def _true_neighbours(reps: DataFrame, probes: dict, dim: int, k: int, least: float | None) -> dict:
+    """By model the pairs (unit vector of a probe, that of one of its k nearest, of at least the similarity least), from all vectors of the model."""
     import numpy as np
 
     sent = reps.sparkSession.sparkContext.broadcast({m: (np.array([r for r, _ in ps]), np.array([v for _, v in ps])) for m, ps in probes.items()})
@@ -165,7 +168,7 @@ def _true_neighbours(reps: DataFrame, probes: dict, dim: int, k: int) -> dict:
                 near[ids[:, None] == rid[None, :]] = -2
                 for i, top in enumerate(np.argpartition(near, -min(k, len(rid)), axis=1)[:, -k:]):
                     held = best.setdefault((m, i), [])
-                    held += [(-float(near[i, j]), raw[j].tobytes()) for j in top if near[i, j] > -2]
+                    held += [(-float(near[i, j]), raw[j].tobytes()) for j in top if near[i, j] > -2 and (least is None or near[i, j] >= least)]
                     held.sort()
                     del held[k:]
         rows = [(m, i, far, vec) for (m, i), held in best.items() for far, vec in held]
@@ -273,20 +276,18 @@ def _search(dim: int, k: int, least: float | None):
         for b in batches:
             if not b.num_rows:
                 continue
-            order, model = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            order, model = b.column(0).to_numpy(zero_copy_only=False), b.column(1).dictionary_encode()
             rid, raw = b.column(3).to_numpy(zero_copy_only=False), _matrix(b.column(4), dim)
-            a = 0
-            while a < len(rid):
-                here = (order[a], model[a])
-                same = np.fromiter((order[i] == here[0] and model[i] == here[1] for i in range(a, len(rid))), dtype=bool)
-                end = a + (len(same) if same.all() else int(np.argmin(same)))
+            codes, names = model.indices.to_numpy(zero_copy_only=False), model.dictionary.to_pylist()
+            turns = np.flatnonzero((order[1:] != order[:-1]) | (codes[1:] != codes[:-1])) + 1
+            for a, end in zip([0, *turns], [*turns, len(rid)]):
+                here = (order[a], names[codes[a]])
                 if segment is not None and segment != here:
                     yield from close(True)
                 segment = here
                 held.append((rid[a:end], raw[a:end]))
                 if sum(len(r) for r, _ in held) >= 2 * WINDOW:
                     yield from close(False)
-                a = end
         if segment is not None:
             yield from close(True)
 
@@ -312,10 +313,8 @@ def most_similar(df: DataFrame, id_col: str, vector: str, model: str, dim: int,
     total = reps.count()
     if not total:
         return df.sparkSession.createDataFrame([], "model string, id string, neighbour_id string, rank int, similarity double")
-    sizes: dict = {}
-    if least is None or least < CLOSE:
-        sizes = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 3 * WINDOW).collect()}
-    bases, fitted, orderings = _fit(reps, dim, total, k, sizes)
+    sizes = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 3 * WINDOW).collect()}
+    bases, fitted, orderings = _fit(reps, dim, total, k, sizes, least)
     placements = total * ORDERINGS + sum(sizes[m] * (o - ORDERINGS) for m, o in orderings.items())
     placed = reps.select("rid", "model", "vec").mapInArrow(_place(bases, fitted, dim, orderings), "ord int, model string, pos bigint, rid bigint, vec binary")
     parts = max(1, math.ceil(placements / (WINDOW * WINDOWS_A_PART)))
