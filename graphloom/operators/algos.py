@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.traverse import directed_edges, impact_levels
+from graphloom.operators.traverse import FRONTIER, directed_edges, impact_levels
 from graphloom.schema import TRAVERSED
-from graphloom.sources.tables import cut
+from graphloom.sources.tables import cut, cut_counted
 
 # Rounds and damping of PageRank, weights of the impact score.
 ROUNDS, DAMPING = 20, 0.85
@@ -38,20 +39,32 @@ def personalised_pagerank(edges: DataFrame, seed: str, rounds: int = ROUNDS, dam
     Repeated edges count as often as they occur; mass of nodes without out-edges is lost. To follow dependents, hand in
     reversed edges.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    steps = cut(edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("share")))
     spark = edges.sparkSession
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(spark.createDataFrame([(seed,)], "id string")).distinct()
-    nodes = cut(nodes.select("id", F.when(F.col("id") == seed, 1 - damping).otherwise(0.0).alias("base")))
-    rank = nodes.select("id", F.when(F.col("id") == seed, 1 - damping).otherwise(0.0).alias("score"))
-    for i in range(1, rounds + 1):
-        arriving = rank.where("score > 0").join(steps, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("arrived"))
-        rank = nodes.join(arriving, F.col("id") == F.col("dst"), "left").select("id", (F.col("base") + F.coalesce("arrived", F.lit(0.0))).alias("score"))
-        if i % CUT_EVERY == 0:
-            rank = cut(rank)
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    # edges stay where they are, spread by source, while only scores move
+    steps = edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("share")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    zero = lambda df, c: df.select(F.col(c).alias("id"), F.lit(0.0).alias("score"))
+    start = spark.createDataFrame([(seed, 1 - damping)], "id string, score double")
+    base, n = cut_counted(zero(edges, "src").union(zero(edges, "dst")).union(start).groupBy("id").agg(F.max("score").alias("score")))
+    rank = base
+    try:
+        for i in range(1, rounds + 1):
+            sent = rank.where("score > 0").withColumnRenamed("id", "src")
+            arriving = steps.join(F.broadcast(sent) if n <= FRONTIER else sent, "src").select(F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("score"))
+            rank = base.unionByName(arriving).groupBy("id").agg(F.sum("score").alias("score"))
+            if i % CUT_EVERY == 0 or i == rounds:
+                rank = cut(rank)
+    finally:
+        steps.unpersist()
     return rank
 
 
+def _sources(edges: DataFrame, samples: int) -> DataFrame:
+    """Nodes to measure from (id): all, or the samples with the smallest hash."""
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return nodes if samples <= 0 else nodes.orderBy(F.xxhash64("id"), "id").limit(samples)
+
+
 def _bounded(edges: DataFrame) -> list:
     rows = edges.select("src", "dst").distinct().limit(MAX_EDGES + 1).collect()
     if len(rows) > MAX_EDGES:
@@ -59,8 +72,22 @@ def _bounded(edges: DataFrame) -> list:
     return [(r["src"], r["dst"]) for r in rows]
 
 
+def estimate(edges: DataFrame) -> DataFrame:
+    """One row before a job on edges (src, dst): n_nodes, n_edges, distributed_bytes (PageRank), driver_bytes (betweenness, communities), fits.
+
+    fits tells whether the measures that need a bounded subgraph will take it. Bytes are those of ids, scores and lists.
+    """
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    nodes = ids.distinct().agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.octet_length("id") + 16).alias("id_bytes"))
+    rows = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.octet_length("src") + F.octet_length("dst") + 8).alias("edge_bytes"))
+    distinct = edges.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+    one = nodes.withColumn("k", F.lit(1)).join(rows.withColumn("k", F.lit(1)), "k").join(distinct.withColumn("k", F.lit(1)), "k")
+    bytes_ = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return one.select("n_nodes", "n_edges", bytes_(F.col("id_bytes") + F.col("edge_bytes")).alias("distributed_bytes"), bytes_(F.col("id_bytes") + 72 * F.col("n_distinct")).alias("driver_bytes"), (F.col("n_distinct") <= MAX_EDGES).alias("fits"))
+
+
 def betweenness(edges: DataFrame, samples: int = 0) -> DataFrame:
-    """id, score: how often shortest directed paths pass the node (Brandes), from every source or the samples lowest ids."""
+    """id, score: how often shortest directed paths pass the node (Brandes), from every source or from samples of them, drawn by hash."""
     pairs = _bounded(edges)
     spark = edges.sparkSession
     ids = sorted({x for p in pairs for x in p})
@@ -68,7 +95,7 @@ def betweenness(edges: DataFrame, samples: int = 0) -> DataFrame:
     out: list[list[int]] = [[] for _ in ids]
     for a, b in sorted(pairs):
         out[place[a]].append(place[b])
-    sources = list(range(len(ids))) if samples <= 0 else list(range(min(samples, len(ids))))
+    sources = list(range(len(ids))) if samples <= 0 else [place[r["id"]] for r in _sources(edges, samples).collect()]
     sent = spark.sparkContext.broadcast((ids, out))
 
     def run(batches: Iterator) -> Iterator:
@@ -101,7 +128,7 @@ def betweenness(edges: DataFrame, samples: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in score]), pa.array(list(score.values()))], names=["id", "part"])
 
     parts = max(1, min(len(sources) // 50, spark.sparkContext.defaultParallelism * 4))
-    partial = spark.range(0, len(sources), 1, parts).mapInArrow(run, "id string, part double")
+    partial = spark.createDataFrame([(s,) for s in sources], "source bigint").repartition(parts).mapInArrow(run, "id string, part double")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return nodes.join(partial.groupBy("id").agg(F.sum("part").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 

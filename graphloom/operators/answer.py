@@ -142,6 +142,7 @@ def summary_views(items: DataFrame, root: str, visible: Column, tag: str = "summ
         reached = cut(reached.unionByName(items.where("own").select("id").join(below, "id", "left_semi")).distinct())
         all_below = cut(all_below.unionByName(all_below.join(links, F.col("id") == F.col("parent")).select(F.col("child").alias("id"))).distinct())
     placed = items.join(all_below, "id", "left_semi").join(reached.withColumn("visible", F.lit(True)), "id", "left").withColumn("visible", F.coalesce("visible", F.lit(False)))
+    placed = cut(placed)
     hits = cache.select("cache_key", F.col("summary").alias("cached")) if cache is not None else spark.createDataFrame([], "cache_key string, cached string")
     part = lambda x: F.concat(F.lpad(F.hex(F.octet_length(x)), 8, "0"), F.hex(F.encode(x, "UTF-8")))
     head = F.concat(F.hex(F.encode(F.lit(tag), "UTF-8")), part(F.col("ast_hash")))
@@ -166,7 +167,8 @@ def summary_views(items: DataFrame, root: str, visible: Column, tag: str = "summ
         rows = rows.withColumn("cache_key", F.when(F.col("visible"), cache_key(F.lit(""), F.col("effective_hash"), F.lit(logic), F.lit(acl_scope)))).join(hits, "cache_key", "left")
         made = summarise(F.col("id"), F.when(F.col("complete"), F.col("source")).otherwise(""), F.col("texts"))
         rows = rows.select("id", "level", "visible", "complete", "effective_hash", "cache_key", F.col("cached").isNotNull().alias("is_hit"), F.when(F.col("visible"), F.coalesce("cached", made)).alias("summary"))
-        done = rows if done is None else cut(done.unionByName(rows))
+        below = cut(rows)
+        done = below if done is None else done.unionByName(below)
     return done
 
 

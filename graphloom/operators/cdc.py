@@ -154,6 +154,24 @@ def valid_path(path: Column) -> Column:
 COMMAND = T.StructType([T.StructField(n, T.StringType()) for n in ("schema_version", "command_id", "commit_sha", "path", "source_sha256")] + [T.StructField("source_size_bytes", T.LongType())])
 
 
+#: The headers that carry a command's scope; systems with other names hand in theirs.
+SCOPE_HEADERS = ["tenant-id", "repository", "acl-group"]
+
+
+def scope_of_headers(headers: Column, names: list[str] = SCOPE_HEADERS) -> list[Column]:
+    """Each scope value of headers, an array of struct(key, value); null for one that is missing, given twice or no UTF-8.
+
+    value is binary or text. Names compare exactly; other headers are ignored. A null value makes a command's scope
+    invalid (see command_outcome).
+    """
+    def one(name: str) -> Column:
+        own = F.filter(headers, lambda h: h["key"] == name)
+        value = F.get(own, 0)["value"].cast("binary")
+        return F.when((F.size(own) == 1) & F.is_valid_utf8(value), value.cast("string"))
+
+    return [one(n) for n in names]
+
+
 def command_outcome(payload: Column, scope_values: list[Column], max_bytes: int = MAX_SOURCE_BYTES) -> Column:
     """accepted, invalid_payload, invalid_scope, invalid_path or source_too_large of an ingestion command in JSON."""
     c = F.from_json(payload, COMMAND)

@@ -78,7 +78,7 @@ def resolve_calls(parsed: DataFrame) -> DataFrame:
     """from_id, rel_type, to_id, weight: unresolved calls that a named import of the file leads to.
 
     The last import of a local name counts. A relative specifier is taken from the file's folder and tried as it is,
-    with .js, then with .ts; the target must be a Function or Class of the imported name there. Others stay unresolved.
+    with .js, then with .ts if it has no ending; the target must be a Function or Class of the imported name there. Others stay unresolved.
     """
     bound = parsed.select("path", F.posexplode("imports").alias("pos", "i")).select("path", "pos", "i.*").groupBy("path", "local").agg(F.max_by(F.struct("imported", "specifier"), "pos").alias("b")).select("path", "local", "b.*")
     calls = parsed.select("path", F.explode("unresolved").alias("u")).select("path", "u.*").join(bound.withColumnRenamed("local", "callee"), ["path", "callee"])
@@ -87,10 +87,33 @@ def resolve_calls(parsed: DataFrame) -> DataFrame:
     calls = calls.withColumn("target", normal_path(F.concat_ws("/", folder, F.col("specifier"))))
     tries = calls.select("*", F.posexplode(F.array(*(F.concat("target", F.lit(e)) for e in ("", ".js", ".ts")))).alias("order", "file"))
     goals = entities(parsed).where(F.col("kind").isin("Function", "Class")).select(F.col("path").alias("file"), F.col("name").alias("imported"), F.col("id").alias("to_id"))
+    tries = tries.where((F.col("order") == 0) | ~F.col("target").rlike(r"[^/]\.[^/.]*$"))
     met = tries.join(goals, ["file", "imported"]).groupBy("path", "caller", "callee", "weight").agg(F.min_by("to_id", "order").alias("to_id"))
     return met.select(parser_id(F.col("path"), F.col("caller")).alias("from_id"), F.lit("CALLS").alias("rel_type"), "to_id", "weight")
 
 
+def symbol_table(files: DataFrame) -> DataFrame:
+    """symbol, distinct: what Go files (source) declare: types, functions, Receiver.method, and Interface.method of interfaces.
+
+    Declarations begin a line. Methods of an interface are the lines of its braces that begin with a name and a
+    parenthesis. Null sources declare nothing. Stays in the JVM, one row at a time.
+    """
+    name = "[A-Za-z_][A-Za-z0-9_]*"
+    each = lambda pattern, group=1: F.regexp_extract_all("source", F.lit(pattern), F.lit(group))
+    types = each(rf"(?dm)^\s*type\s+({name})\s+(?:struct|interface)\b")
+    functions = each(rf"(?dm)^\s*func\s+({name})\s*\(")
+    method = rf"(?dm)^\s*func\s*\(\s*{name}\s+\*?({name})\s*\)\s*({name})\s*\("
+    methods = F.transform(F.arrays_zip(each(method, 1).alias("a"), each(method, 2).alias("b")), lambda m: F.concat_ws(".", m["a"], m["b"]))
+    whole = F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in (types, functions, methods)))
+    plain = files.select(F.explode(F.flatten(whole)).alias("symbol"))
+    body = rf"(?dm)^\s*type\s+({name})\s+interface\s*\{{([^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*)"
+    inside = files.select(F.explode(F.arrays_zip(each(body, 1).alias("owner"), each(body, 2).alias("body"))).alias("i")).select("i.*")
+    # the first line ends with the opening brace, so declared methods begin on the next ones
+    lines = inside.select("owner", F.explode(F.slice(F.split("body", "\n"), 2, 1 << 30)).alias("line"))
+    own = lines.select(F.concat_ws(".", "owner", F.nullif(F.regexp_extract("line", rf"^\s*({name})\s*\(", 1), F.lit(""))).alias("symbol"))
+    return plain.unionByName(own.where(F.col("symbol").contains("."))).distinct()
+
+
 def greedy_chunks(df: DataFrame, text: str, keys: list[str], budget: int) -> DataFrame:
     """keys, chunk_index, text, char_count: lines of text merged greedily while their sizes together fit the budget.
 

@@ -27,6 +27,16 @@ def reconcile_report(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("checked"), n("match").alias("matched"), n("republish").alias("republished"), n("error").alias("errored"))
 
 
+def vector_sources(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, fingerprint of the rows of record of the vector view: each embedding with the entity of its chunk.
+
+    embeddings: id, chunk_id. chunks: id, entity_id. Repeated rows agree and count once; an embedding whose chunk is not
+    there is no row of record.
+    """
+    own = chunks.groupBy(F.col("id").alias("chunk_id")).agg(F.max("entity_id").alias("fingerprint"))
+    return embeddings.select("id", "chunk_id").distinct().join(own, "chunk_id").select("id", "fingerprint")
+
+
 def republished_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, payload of the rows to publish again: the node with its whole provenance, which sinks need to accept it."""
     want = rows.where("outcome = 'republish'").select("id").distinct()

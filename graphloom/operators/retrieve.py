@@ -44,6 +44,15 @@ def sanitise_query(text: str) -> str:
     return text.strip().rstrip("?!.,;:")
 
 
+def by_ids(rows: DataFrame, key: str, ids: list | DataFrame) -> DataFrame:
+    """One row for each wanted id that rows have (points, texts or nodes): ids are values, which reach the scan as a filter, or a DataFrame with the column key.
+
+    Rows repeated under an id count once. Null ids find nothing.
+    """
+    found = rows.join(ids.select(key).distinct(), key, "left_semi") if isinstance(ids, DataFrame) else rows.where(F.col(key).isin(list(ids)))
+    return found.dropDuplicates([key])
+
+
 def _terms(col: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
 

@@ -88,11 +88,11 @@ def levels(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int,
     return found
 
 
-def reach_reverse(nodes: DataFrame, relations: DataFrame, entry: str, max_depth: int, domain: str | None = None, repo: str | None = None, limit: int = 200, types: list[str] = TRAVERSED) -> DataFrame:
+def reach_reverse(nodes: DataFrame, relations: DataFrame, entry: str, max_depth: int, domain: str | None = None, repo: str | None = None, limit: int | None = 200, types: list[str] = TRAVERSED) -> DataFrame:
     """id, domain, name, hop, graph_rank: who depends on the entry, nearest first.
 
     nodes are the ones the caller may see; paths run through them alone. domain and repo restrict the result but not
-    the nodes between. The entry itself is listed if a cycle leads back to it. Ties of hop are ranked by id.
+    the nodes between. limit None gives all. The entry itself is listed if a cycle leads back to it. Ties of hop are ranked by id.
     """
     start = nodes.where(F.col("id") == entry)
     found = levels(steps(relations, types, "reverse"), nodes, start, max_depth, include_start=True)
@@ -100,11 +100,26 @@ def reach_reverse(nodes: DataFrame, relations: DataFrame, entry: str, max_depth:
     for name, value in (("domain", domain), ("repo", repo)):
         if value is not None:
             kept = kept.where(F.col(name) == value)
+    if limit is None:
+        return ranked(kept, ["hop", "id"], "graph_rank").select("id", "domain", "name", "hop", "graph_rank")
     top = kept.orderBy("hop", "id").limit(limit)
     rank = F.row_number().over(Window.orderBy("hop", "id"))  # over at most limit rows
     return top.select("id", "domain", "name", "hop", rank.alias("graph_rank"))
 
 
+def ranked(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """rows with out, their place from 1 in the order of the columns by, whatever their number: range-sorted, then counted by partition."""
+    placed = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()))
+    sizes = [(r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row a partition
+    before, starts = 0, []
+    for part, n in sorted(sizes):
+        starts.append((part, before))
+        before += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part int, __before bigint"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+    return placed.join(starts, "__part").withColumn(out, (F.col("__before") + inside).cast("int")).drop("__part", "__before")
+
+
 def impact_levels(nodes: DataFrame, relations: DataFrame, entry: str, max_depth: int = 4, max_nodes: int = 1000, domain: str | None = None, repo: str | None = None) -> Iterator[tuple[DataFrame, dict]]:
     """Level by level, the nodes an edit of the entry may touch: (level DataFrame, progress).
 
@@ -168,11 +183,11 @@ def impact_events(nodes: DataFrame, relations: DataFrame, entry: str, max_depth:
     return out
 
 
-def neighbors(nodes: DataFrame, relations: DataFrame, entry: str, types: list[str] | None = None, direction: str = "both", depth: int = 1, limit: int = 100) -> DataFrame:
+def neighbors(nodes: DataFrame, relations: DataFrame, entry: str, types: list[str] | None = None, direction: str = "both", depth: int = 1, limit: int | None = 100) -> DataFrame:
     """id, domain, name, hop, traversed_types: the nodes within depth steps of the entry, which is left out.
 
     traversed_types: the sorted types of the edges by which any shortest walk enters the node. Ordered by id, at most
-    limit nodes.
+    limit nodes (None: all, in no order).
     """
     edges = steps(relations, types, direction)
     start = nodes.where(F.col("id") == entry)
@@ -180,7 +195,8 @@ def neighbors(nodes: DataFrame, relations: DataFrame, entry: str, types: list[st
     places = found.unionByName(start.select("id", F.lit(0).alias("hop")).distinct())
     last = edges.join(places.select(F.col("id").alias("here"), F.col("hop").alias("hop_here")), "here").join(found.select(F.col("id").alias("there"), "hop"), "there").where("hop_here = hop - 1")
     by = last.groupBy(F.col("there").alias("id"), "hop").agg(F.array_join(F.array_sort(F.collect_set("rel_type")), ",").alias("traversed_types"))
-    return nodes.select("id", "domain", "name").join(by, "id").orderBy("id").limit(limit)
+    named = nodes.select("id", "domain", "name").join(by, "id")
+    return named if limit is None else named.orderBy("id").limit(limit)
 
 
 def get_node(nodes: DataFrame, node_id: str) -> DataFrame:

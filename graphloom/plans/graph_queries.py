@@ -136,10 +136,10 @@ def reach_reverse_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return reach_reverse(graph.nodes, graph.relations, SEED, 4, domain="code", repo="repo1")
 
 
-@query(f"WITH RECURSIVE {CODE}, start AS (SELECT * FROM nodes), {walk(repr(HUB), 3, _REVERSE)}, m AS (SELECT id, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY id), t AS (SELECT s.id, s.domain, s.name, CAST(hop AS INTEGER) AS hop FROM m JOIN nodes s USING (id) ORDER BY hop, s.id LIMIT 100000) SELECT *, CAST(row_number() OVER (ORDER BY hop, id) AS INTEGER) AS graph_rank FROM t")
+@query(f"WITH RECURSIVE {CODE}, start AS (SELECT * FROM nodes), {walk(repr(HUB), 3, _REVERSE)}, m AS (SELECT id, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY id), t AS (SELECT s.id, s.domain, s.name, CAST(hop AS INTEGER) AS hop FROM m JOIN nodes s USING (id)  ) SELECT *, CAST(row_number() OVER (ORDER BY hop, id) AS INTEGER) AS graph_rank FROM t")
 def reach_reverse_code(spark: SparkSession, sf: str) -> DataFrame:
     graph = code_graph(spark, sf)
-    return reach_reverse(graph.nodes, graph.relations, HUB, 3, limit=100_000)
+    return reach_reverse(graph.nodes, graph.relations, HUB, 3, limit=None)
 
 
 def _bfs_sql(head: str, table: str, entry: str, depth: int, extra: str = "") -> str:
@@ -194,7 +194,7 @@ def impact_progress(spark: SparkSession, sf: str) -> DataFrame:
 def _neighbor_sql(step: str, depth: int) -> str:
     return f"""WITH RECURSIVE {CODE}, start AS (SELECT * FROM nodes), st AS ({step}), {walk(repr(HUB), depth, 'SELECT here, there FROM st')}, m AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id),
  l AS (SELECT st.there AS id, b.hop, string_agg(DISTINCT st.rel_type, ',' ORDER BY st.rel_type) AS traversed_types FROM st JOIN m a ON a.id = st.here JOIN m b ON b.id = st.there AND b.hop = a.hop + 1 GROUP BY ALL)
- SELECT n.id, n.domain, n.name, CAST(l.hop AS INTEGER) AS hop, l.traversed_types FROM l JOIN nodes n USING (id) ORDER BY n.id LIMIT 100000"""
+ SELECT n.id, n.domain, n.name, CAST(l.hop AS INTEGER) AS hop, l.traversed_types FROM l JOIN nodes n USING (id)"""
 
 
 _FWD, _REV = "SELECT from_id AS here, to_id AS there, rel_type FROM e", "SELECT to_id AS here, from_id AS there, rel_type FROM e"
@@ -203,19 +203,19 @@ _FWD, _REV = "SELECT from_id AS here, to_id AS there, rel_type FROM e", "SELECT
 @query(_neighbor_sql(_FWD, 2))
 def neighbors_forward(spark: SparkSession, sf: str) -> DataFrame:
     graph = code_graph(spark, sf)
-    return neighbors(graph.nodes, graph.relations, HUB, None, "forward", 2, 100_000)
+    return neighbors(graph.nodes, graph.relations, HUB, None, "forward", 2, None)
 
 
 @query(_neighbor_sql(_REV + " WHERE rel_type IN ('CALLS', 'IMPORTS')", 2))
 def neighbors_reverse(spark: SparkSession, sf: str) -> DataFrame:
     graph = code_graph(spark, sf)
-    return neighbors(graph.nodes, graph.relations, HUB, ["CALLS", "IMPORTS"], "reverse", 2, 100_000)
+    return neighbors(graph.nodes, graph.relations, HUB, ["CALLS", "IMPORTS"], "reverse", 2, None)
 
 
 @query(_neighbor_sql(f"{_FWD} UNION ALL {_REV}", 1))
 def neighbors_both(spark: SparkSession, sf: str) -> DataFrame:
     graph = code_graph(spark, sf)
-    return neighbors(graph.nodes, graph.relations, HUB, None, "both", 1, 100_000)
+    return neighbors(graph.nodes, graph.relations, HUB, None, "both", 1, None)
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,6 +231,21 @@ def relation_claims(spark: SparkSession, sf: str) -> DataFrame:
     return relations_exist(graph.nodes, graph.relations, _claims(spark, sf)).select("claim_id", "source_id", "target_id", "holds")
 
 
+@query(f"""WITH RECURSIVE {CODE}, nxt AS (SELECT from_id AS a, rel_type AS t, min(to_id) AS b FROM rel GROUP BY ALL),
+ claims AS (SELECT r.id AS claim_id, r.from_id AS source_id, coalesce(y.b, x.b, r.to_id) AS target_id, r.rel_type AS edge_type, 1 + ascii(r.id) % 4 AS depth FROM rel r LEFT JOIN nxt x ON x.a = r.to_id AND x.t = r.rel_type LEFT JOIN nxt y ON y.a = x.b AND y.t = r.rel_type),
+ walk(claim_id, id, hop) AS (SELECT claim_id, source_id, 0 FROM claims WHERE source_id IN (SELECT id FROM nodes) UNION SELECT claim_id, e.to_id, hop + 1 FROM walk JOIN claims USING (claim_id) JOIN e ON e.from_id = walk.id AND e.rel_type = edge_type WHERE hop < depth)
+ SELECT claim_id, CAST(depth AS INTEGER) AS depth, EXISTS (SELECT 1 FROM walk w WHERE w.claim_id = c.claim_id AND w.id = c.target_id AND hop > 0) AS holds FROM claims c""")
+def relation_claims_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims that a relation's start reaches what lies up to two steps beyond its end, within one to four steps."""
+    graph = code_graph(spark, sf)
+    r = graph.relations.select(F.col("id").alias("claim_id"), F.col("from_id").alias("source_id"), "to_id", F.col("rel_type").alias("edge_type"))
+    after = graph.relations.groupBy("from_id", "rel_type").agg(F.min("to_id").alias("b"))
+    one = after.select(F.col("from_id").alias("to_id"), F.col("rel_type").alias("edge_type"), F.col("b").alias("x"))
+    two = after.select(F.col("from_id").alias("x"), F.col("rel_type").alias("edge_type"), F.col("b").alias("y"))
+    claims = r.join(one, ["to_id", "edge_type"], "left").join(two, ["x", "edge_type"], "left").select("claim_id", "source_id", F.coalesce("y", "x", "to_id").alias("target_id"), "edge_type", (F.ascii("claim_id") % 4 + 1).alias("depth"))
+    return relations_exist(graph.nodes, graph.relations, claims).select("claim_id", "depth", "holds")
+
+
 # --- measures -----------------------------------------------------------------------------------------------------
 
 
@@ -286,11 +301,19 @@ def _impact_scores(spark: SparkSession, sf: str, edges: DataFrame, between: Data
     return scores.select("node_id", "hop", "edge_type", *(F.round(c, 8).alias(c) for c in ("ppr_norm", "betweenness_norm", "impact_score")), impact_kind(F.col("edge_type")).alias("impact_kind"))
 
 
-@query()
+@query(f"""{_ppr_sql().split(', p0 AS (')[0]}, n AS MATERIALIZED (SELECT DISTINCT src, dst FROM rev WHERE src <> dst), d0 AS (SELECT id AS s, id AS v, 0 AS d, 1::DOUBLE AS k FROM members),
+ {', '.join(f"d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT s, dst, {i}, sum(k) FROM d{i - 1} JOIN n ON src = v WHERE d = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} o WHERE o.s = d{i - 1}.s AND o.v = dst) GROUP BY s, dst)" for i in range(1, 13))},
+ b AS (SELECT x.v AS id, sum(x.k * y.k / z.k) AS score FROM d12 x JOIN d12 y ON y.s = x.v JOIN d12 z ON z.s = x.s AND z.v = y.v WHERE x.d > 0 AND y.d > 0 AND z.d = x.d + y.d GROUP BY x.v)
+ SELECT id, round(coalesce(score, 0), 6) AS score FROM members LEFT JOIN b USING (id)""")
 def betweenness_scores(spark: SparkSession, sf: str) -> DataFrame:
     return algos.betweenness(_code_impact_edges(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"{_ppr_sql().split(', p0 AS (')[0]} SELECT (SELECT count(*) FROM members) AS n_nodes, (SELECT count(*) FROM rev) AS n_edges, TRUE AS fits")
+def graph_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return algos.estimate(_code_impact_edges(spark, sf)).select("n_nodes", "n_edges", "fits")
+
+
 @query()
 def community_labels(spark: SparkSession, sf: str) -> DataFrame:
     return algos.communities(_code_impact_edges(spark, sf))
@@ -311,7 +334,15 @@ _VECTOR = f"""{_POINTS}, qv AS (SELECT v FROM points WHERE point_id = {QUERY_VEC
 
 
 def _vector_of(spark: SparkSession, sf: str) -> list[float]:
-    return list(read(spark, sf, "embeddings").where(F.col("vec_id") == QUERY_VECTOR).first()["embedding"])
+    return list(retrieve.by_ids(read(spark, sf, "embeddings"), "vec_id", [QUERY_VECTOR]).first()["embedding"])
+
+
+@query("SELECT id, model_id, len(vector) AS dim FROM (SELECT id, any_value(model_id) AS model_id, any_value(vector) AS vector FROM code_embedding GROUP BY id) WHERE id IN (SELECT min(id) FROM code_embedding GROUP BY model_id) AND id IS NOT NULL")
+def points_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The first point of each model, looked up by id."""
+    points = read(spark, sf, "code_embedding").select("id", "model_id", "vector")
+    wanted = points.groupBy("model_id").agg(F.min("id").alias("id")).select("id")
+    return retrieve.by_ids(points, "id", wanted).select("id", "model_id", F.size("vector").alias("dim"))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,9 +419,17 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
     return _reranked(spark, sf).select("node_id", F.round("rerank_score", 9).alias("rerank_score"), "impact_norm", F.round("final_score", 9).alias("final_score"), "rank")
 
 
-@query("""WITH c AS (SELECT entity_id, chunk_index, max(text) AS text FROM code_chunk WHERE text IS NOT NULL GROUP BY ALL) SELECT entity_id, string_agg(text, chr(10) ORDER BY chunk_index) AS source_text FROM c WHERE entity_id IN (SELECT id FROM code_node WHERE node_type = 'Class') GROUP BY entity_id""")
+@query("""WITH c AS (SELECT entity_id, chunk_index, max(text) AS text FROM code_chunk WHERE text IS NOT NULL GROUP BY ALL) SELECT entity_id, string_agg(text, chr(10) ORDER BY chunk_index) AS source_text FROM c WHERE entity_id IN (SELECT id FROM code_node) GROUP BY entity_id""")
 def hydrate_text(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = code_nodes(spark, sf).where("node_type = 'Class'").select(F.col("id").alias("entity_id"))
+    wanted = code_nodes(spark, sf).select(F.col("id").alias("entity_id"))
+    return retrieve.source_texts(read(spark, sf, "code_chunk"), wanted)
+
+
+@query("""WITH c AS (SELECT entity_id, chunk_index, max(text) AS text FROM code_chunk WHERE text IS NOT NULL GROUP BY ALL), w AS (SELECT DISTINCT from_id AS id FROM code_relation WHERE rel_type = 'EXTENDS')
+ SELECT entity_id, string_agg(text, chr(10) ORDER BY chunk_index) AS source_text FROM c WHERE entity_id IN (SELECT id FROM w) GROUP BY entity_id""")
+def texts_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of the entities that extend another, looked up by id."""
+    wanted = read(spark, sf, "code_relation").where("rel_type = 'EXTENDS'").select(F.col("from_id").alias("entity_id"))
     return retrieve.source_texts(read(spark, sf, "code_chunk"), wanted)
 
 
@@ -409,6 +448,14 @@ def fulltext_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 8))
 
 
+@query(ORACLES["fulltext_topk"].replace("FROM f)", "FROM g)").replace("FROM f, st", "FROM g, st").replace(" st AS (", " g AS (SELECT * FROM f WHERE id IN (SELECT to_id FROM code_relation WHERE rel_type = 'CALLS')), st AS ("))
+def fulltext_among(spark: SparkSession, sf: str) -> DataFrame:
+    """Full-text search among the entities that are called."""
+    called = read(spark, sf, "code_relation").where("rel_type = 'CALLS'").select(F.col("to_id").alias("id"))
+    nodes = retrieve.by_ids(code_nodes(spark, sf), "id", called)
+    return retrieve.fulltext_search(nodes, "append context return?", chunks=read(spark, sf, "code_chunk")).withColumn("score", F.round("score", 8))
+
+
 # --- packing ------------------------------------------------------------------------------------------------------
 
 

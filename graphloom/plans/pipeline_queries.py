@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import answer, cdc, extract, maintain
+from graphloom.operators import answer, cdc, extract, ingest, maintain
 from graphloom.operators.changes import current_state
+from graphloom.operators.traverse import hierarchy_violations
 from graphloom.plans.graph_sql import CODE, STAR
 from graphloom.sources import read
-from graphloom.sources.graph import code_graph, code_nodes, star_graph
+from graphloom.sources.graph import code_graph, code_nodes, key_id, star_graph
 from graphloom.streaming.outbox import run_outbox, scratch
 
 QUERIES: dict = {}
@@ -171,6 +172,34 @@ def command_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", cdc.command_outcome(payload, [tenant, F.lit("r"), F.lit("g")]).alias("outcome"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 OR user_id % 9 = 0 THEN 'invalid_scope' ELSE 'accepted' END AS outcome FROM events""")
+def command_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands whose scope comes in headers: some lack one, give one twice, or have one that is no UTF-8 or has a blank at its end."""
+    i = F.col("event_id")
+    header = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    text = lambda v: F.encode(v, "UTF-8")
+    tenant = F.when(i % 13 == 0, F.unhex(F.lit("FF"))).otherwise(text(F.when(F.col("user_id") % 9 == 0, "t ").otherwise("t")))
+    headers = F.array(header("tenant-id", tenant), header("repository", text(F.lit("r"))), header("other", tenant), header("acl-group", text(F.lit("g"))))
+    headers = F.when(i % 7 == 0, F.concat(headers, F.array(header("repository", text(F.lit("r")))))).when(i % 11 == 0, F.slice(headers, 2, 3)).otherwise(headers)
+    digest = F.sha2(i.cast("string"), 256)
+    payload = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.lit("c").alias("command_id"), F.substring(digest, 1, 40).alias("commit_sha"), F.lit("a.go").alias("path"), digest.alias("source_sha256"), F.lit(1).alias("source_size_bytes")))
+    return read(spark, sf, "events").select("event_id", cdc.command_outcome(payload, cdc.scope_of_headers(headers)).alias("outcome"))
+
+
+@query("""SELECT CASE WHEN doc_id % 10 = 0 THEN 'source_not_found' WHEN doc_id % 9 = 0 THEN 'source_size_mismatch' WHEN contains(text, chr(0)) THEN 'source_contains_nul' WHEN doc_id % 4 = 0 THEN 'duplicate' ELSE 'apply' END AS outcome, count(*) AS n FROM documents WHERE text IS NOT NULL AND strlen(text) <= 16777216 GROUP BY ALL""")
+def ingest_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as sources of commands: a tenth is not there, some have another size, a quarter was applied before."""
+    d = read(spark, sf, "documents").where(F.col("text").isNotNull() & (F.octet_length("text") <= cdc.MAX_SOURCE_BYTES)).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    d = d.withColumn("source_sha256", F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), "content"), 256))
+    sources = d.where("doc_id % 10 <> 0").select(F.sha2("content", 256).alias("source_sha256"), "content")
+    size = F.octet_length("content") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)
+    fields = [F.lit("1").alias("schema_version"), F.col("doc_id").cast("string").alias("command_id"), F.lit("a" * 40).alias("commit_sha"), F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), F.when(F.col("doc_id") % 10 == 0, F.sha2(F.col("doc_id").cast("string"), 256)).otherwise(F.sha2("content", 256)).alias("source_sha256"), size.alias("source_size_bytes")]
+    commands = d.select("doc_id", F.to_json(F.struct(*fields)).alias("payload"), *(F.lit(x).alias(x) for x in ingest.SCOPE))
+    first = ingest.judged_commands(commands, commands.limit(0).select(F.lit("").alias("command_id"), F.lit("").alias("fingerprint")), sources)
+    receipts = first.where("outcome = 'apply' AND CAST(command_id AS BIGINT) % 4 = 0").select("command_id", "fingerprint")
+    return ingest.judged_commands(commands, receipts, sources).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH r AS (SELECT user_id, min(event_type) AS f FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT event_id, CASE WHEN f IS NULL THEN 'applied' WHEN f = event_type THEN 'duplicate' ELSE 'conflict' END AS outcome FROM events LEFT JOIN r USING (user_id)""")
 def receipt_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
@@ -206,6 +235,15 @@ def reconcile_vector(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.reconcile(side("source_row"), side("view_row")).select("id", "fingerprint", "outcome")
 
 
+@query("""WITH c AS (SELECT id, max(entity_id) AS f FROM code_chunk GROUP BY id), s AS (SELECT DISTINCT e.id, c.f FROM code_embedding e JOIN c ON c.id = e.chunk_id), v AS (SELECT id, max(fingerprint) AS f FROM view_row WHERE target = 'vector' GROUP BY id)
+ SELECT CASE WHEN s.id IS NULL THEN 'error' WHEN v.id IS NOT NULL AND s.f IS NOT DISTINCT FROM v.f THEN 'match' ELSE 'republish' END AS outcome, count(*) AS n FROM s LEFT JOIN v ON v.id = s.id GROUP BY ALL""")
+def reconcile_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings with the entities of their chunks against the vector view."""
+    s = maintain.vector_sources(read(spark, sf, "code_embedding"), read(spark, sf, "code_chunk"))
+    rows = maintain.reconcile(s, read(spark, sf, "view_row").where("target = 'vector'"))
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH s AS (SELECT id, any_value(text) AS text FROM code_chunk GROUP BY id), v AS (SELECT id, CASE WHEN ascii(id) % 5 = 0 THEN upper(text) ELSE text END AS f FROM s WHERE ascii(substring(id, 2, 1)) % 7 <> 0)
  SELECT CASE WHEN v.id IS NOT NULL AND s.text IS NOT DISTINCT FROM v.f THEN 'match' ELSE 'republish' END AS outcome, count(*) AS n FROM s LEFT JOIN v USING (id) GROUP BY ALL""")
 def reconcile_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,6 +308,19 @@ def extracted_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return extract.chunks(extract.parse_files(_files(spark, sf)))
 
 
+_NAME = "[A-Za-z_][A-Za-z0-9_]*"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT text AS source FROM code_chunk WHERE domain = 'code' AND text IS NOT NULL),
+ i AS (SELECT unnest(regexp_extract_all(source, '(?m)^\\s*type\\s+({_NAME})\\s+interface\\s*\\{{([^{{}}]*(?:\\{{[^{{}}]*\\}}[^{{}}]*)*)', 1)) AS o, unnest(regexp_extract_all(source, '(?m)^\\s*type\\s+({_NAME})\\s+interface\\s*\\{{([^{{}}]*(?:\\{{[^{{}}]*\\}}[^{{}}]*)*)', 2)) AS b FROM f),
+ l AS (SELECT o, unnest(string_split(b, chr(10))[2:]) AS line FROM i), m AS (SELECT unnest(regexp_extract_all(source, '(?m)^\\s*func\\s*\\(\\s*{_NAME}\\s+\\*?({_NAME})\\s*\\)\\s*({_NAME})\\s*\\(', 1)) AS a, unnest(regexp_extract_all(source, '(?m)^\\s*func\\s*\\(\\s*{_NAME}\\s+\\*?({_NAME})\\s*\\)\\s*({_NAME})\\s*\\(', 2)) AS b FROM f)
+ SELECT unnest(regexp_extract_all(source, '(?m)^\\s*type\\s+({_NAME})\\s+(?:struct|interface)\\b', 1)) AS symbol FROM f UNION SELECT unnest(regexp_extract_all(source, '(?m)^\\s*func\\s+({_NAME})\\s*\\(', 1)) FROM f UNION SELECT a || '.' || b FROM m
+ UNION SELECT o || '.' || regexp_extract(line, '^\\s*({_NAME})\\s*\\(', 1) FROM l WHERE regexp_matches(line, '^\\s*({_NAME})\\s*\\(')""")
+def declared_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """What the code chunks declare, each taken as a Go file of its own."""
+    return extract.symbol_table(read(spark, sf, "code_chunk").where("domain = 'code' AND text IS NOT NULL").select(F.col("text").alias("source")))
+
+
 @query("""WITH o AS (SELECT 'a' || (p_size % 10) AS path, p_partkey AS id, p_type AS h FROM part WHERE p_partkey % 2 = 0), n AS (SELECT 'b' || (p_size % 10) AS path, p_partkey AS id, p_type AS h FROM part WHERE p_partkey % 2 = 1),
  a AS (SELECT *, row_number() OVER (PARTITION BY path, h ORDER BY id) AS r FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY path, h ORDER BY id) AS r FROM n) SELECT a.id AS old_id, b.id AS new_id, a.h AS ast_hash FROM a JOIN b ON substring(a.path, 2) = substring(b.path, 2) AND a.h = b.h AND a.r = b.r""")
 def rename_lineage(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,6 +419,20 @@ def summary_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return answer.summary_views(_hierarchy(spark, sf), "r:2", visible).select("id", "visible", "complete", "effective_hash")
 
 
+@query("""WITH it AS (SELECT 'n:' || n_nationkey AS id, 2 AS level FROM nation WHERE n_nationkey % 7 <> 0 UNION ALL SELECT 'c:' || c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 2 ELSE 1 END FROM customer UNION ALL SELECT 'c:' || c_custkey, 1 FROM customer WHERE c_custkey % 40 = 0 UNION ALL SELECT 'r:' || r_regionkey, 3 FROM region),
+ link AS (SELECT 'r:' || n_regionkey AS parent, 'n:' || n_nationkey AS id FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer)
+ SELECT id, 'duplicate_id' AS violation FROM it GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'none', 'missing_root' UNION ALL SELECT DISTINCT link.id, 'missing_child' FROM link WHERE parent IN (SELECT id FROM it) AND link.id NOT IN (SELECT id FROM it)
+ UNION ALL SELECT DISTINCT p.id, 'level_not_below' FROM it p JOIN link ON link.parent = p.id JOIN it c ON c.id = link.id WHERE c.level >= p.level""")
+def hierarchy_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions over nations over customers, of which some are missing, repeated or at a level too high; the root is none of them."""
+    nation, customer, region = (read(spark, sf, t) for t in ("nation", "customer", "region"))
+    below = lambda df, p, a, c, b: df.groupBy(key_id(p, a).alias("id")).agg(F.collect_list(key_id(c, b)).alias("child_ids"))
+    kids = below(nation, "r", "n_regionkey", "n", "n_nationkey").unionByName(below(customer, "n", "c_nationkey", "c", "c_custkey"))
+    level = lambda df, p, k, v: df.select(key_id(p, k).alias("id"), v.alias("level"))
+    items = level(nation.where("n_nationkey % 7 <> 0"), "n", "n_nationkey", F.lit(2)).unionByName(level(customer, "c", "c_custkey", F.when(F.col("c_custkey") % 50 == 0, 2).otherwise(1))).unionByName(level(customer.where("c_custkey % 40 = 0"), "c", "c_custkey", F.lit(1))).unionByName(level(region, "r", "r_regionkey", F.lit(3)))
+    return hierarchy_violations(items.join(kids, "id", "left").withColumn("child_ids", F.coalesce("child_ids", F.array().cast("array<string>"))), "none")
+
+
 @query("""WITH x AS (SELECT l_orderkey AS query_id, l_partkey, max((l_linenumber <= 3)::INT) AS want, max((l_linenumber >= 2)::INT) AS got, count(*) FILTER (l_linenumber >= 2) AS n FROM lineitem GROUP BY ALL)
  SELECT query_id, sum(want)::BIGINT AS n_expected, sum(n)::BIGINT AS n_actual, sum(want * got)::BIGINT AS semantic_matched, coalesce(sum(n) FILTER (want = 0), 0)::BIGINT AS unexpected, sum(want * (1 - got))::BIGINT AS missing, CASE WHEN sum(want) > 0 THEN round(sum(want * got) / sum(want)::DOUBLE, 9) ELSE 1 END AS semantic_recall FROM x GROUP BY query_id""")
 def fact_comparison(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,15 +450,30 @@ def evaluation_latencies(spark: SparkSession, sf: str) -> DataFrame:
     return answer.evaluation_summary(records, none).select("query_count", F.round("latency_p50_ms", 6).alias("latency_p50_ms"), "latency_p95_ms")
 
 
+def _names_and_symbols(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    plain = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+    symbols = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(".", plain("n_name"), plain("r_name")).alias("symbol")).union(nation.select(plain("n_name")))
+    return symbols.select(F.col("symbol").alias("name")).union(region.select(plain("r_name"))).union(read(spark, sf, "part").select("p_brand")), symbols
+
+
 @query("""WITH s AS (SELECT DISTINCT replace(n_name, ' ', '_') || '.' || replace(r_name, ' ', '_') AS symbol FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT replace(n_name, ' ', '_') FROM nation),
  leaf AS (SELECT split_part(symbol, '.', -1) AS name, count(*) AS n, min(symbol) AS one FROM s GROUP BY ALL), q AS (SELECT symbol AS name FROM s UNION SELECT replace(r_name, ' ', '_') FROM region UNION SELECT p_brand FROM part)
  SELECT q.name, CASE WHEN s.symbol IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS status, CASE WHEN s.symbol IS NOT NULL THEN q.name WHEN n = 1 THEN one END AS canonical FROM q LEFT JOIN s ON s.symbol = q.name LEFT JOIN leaf ON leaf.name = q.name""")
 def symbol_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    plain = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
-    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
-    symbols = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(".", plain("n_name"), plain("r_name")).alias("symbol")).union(nation.select(plain("n_name")))
-    names = symbols.select(F.col("symbol").alias("name")).union(region.select(plain("r_name"))).union(read(spark, sf, "part").select("p_brand"))
-    return answer.resolve_symbols(names, symbols)
+    return answer.resolve_symbols(*_names_and_symbols(spark, sf))
+
+
+_PLAIN_NAME = "regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*')"
+
+
+@query(f"""WITH r AS ({ORACLES['symbol_resolution']}), q AS (SELECT name, CASE WHEN {_PLAIN_NAME} THEN status ELSE 'not_found' END AS status, CASE WHEN {_PLAIN_NAME} THEN canonical END AS canonical FROM r)
+ SELECT name AS value, canonical, status, CASE status WHEN 'ambiguous' THEN 'ambiguous_canonicalization' WHEN 'not_found' THEN 'semantic_error' WHEN 'unique' THEN 'unqualified_symbol' END AS issue, coalesce(canonical = name, FALSE) AS is_raw FROM q""")
+def canonical_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The names as facts of one kind; brands of parts are no identifiers."""
+    names, symbols = _names_and_symbols(spark, sf)
+    facts = names.distinct().select(F.lit("q").alias("query_id"), F.lit("contains").alias("kind"), F.col("name").alias("value"))
+    return answer.canonicalise(facts, symbols).drop("query_id", "kind")
 
 
 @query("""WITH e AS (SELECT c_custkey AS k, c_custkey % 3 AS ttl FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'denied' WHEN k IS NOT NULL AND ttl <> 1 THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN c_custkey % 5 <> 0 AND k IS NOT NULL AND ttl <> 1 THEN 'v' || c_custkey END AS value FROM customer LEFT JOIN e ON k = c_custkey""")
