@@ -20,8 +20,9 @@ from graphloom.llm.words import word_finder
 from graphloom.sources import cut
 
 WIDTH, LITERALS = 12, 4
-#: A word is a template word if at least so many items have it; so many words at most are taken, the most frequent first.
-SHARED, LEXICON = 5, 20_000
+#: A word is a template word if at least so many items have it; more than LEXICON such words, which travel to every task, are
+#: an error.
+SHARED, LEXICON = 5, 1_000_000
 #: Up to so many distinct item windows, their hashes travel to the tasks (8 bytes each) and drop other windows early.
 SIEVE = 1_000_000
 #: Up to so many item windows are broadcast to the join (about 200 bytes each); more are repeated SALTS times in a shuffled
@@ -110,10 +111,12 @@ def _item_words(batches: Iterator) -> Iterator:
 
 
 def template_lexicon(items: DataFrame, text: str) -> list[str]:
-    """At most LEXICON words that at least SHARED items have."""
+    """The words that at least SHARED items have."""
     each = items.select(F.col(text).alias("t")).distinct().mapInArrow(_item_words, "words array<string>").select(F.explode("words").alias("w"))
-    counts = each.groupBy("w").count().where(F.col("count") >= SHARED).orderBy(F.desc("count"), "w").limit(LEXICON)
-    return [r["w"] for r in counts.collect()]
+    shared = each.groupBy("w").count().where(F.col("count") >= SHARED).select("w").limit(LEXICON + 1).collect()
+    if len(shared) > LEXICON:
+        raise ValueError(f"more than {LEXICON} words are shared by items")
+    return sorted(r["w"] for r in shared)
 
 
 def matched_windows(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, width: int = WIDTH, sieve_limit: int = SIEVE) -> DataFrame:

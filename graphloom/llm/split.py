@@ -4,7 +4,7 @@ A text is reduced to a skeleton of one letter per character that is not white sp
 end of a block (a blank line), l of a line, w of a word, x nothing. On the skeleton, one bounded-quantifier regex cuts
 the pieces: its alternatives are ordered by boundary strength, each consumes as much as the limit allows, and the last
 falls back on any character. Piece lengths become offsets into the text, and each piece starts the overlap earlier.
-Everything runs in the JVM on one row at a time; there is no shuffle.
+Everything runs in the JVM on one row at a time; only oversized rows are shuffled, to drop repeated ones.
 """
 
 from __future__ import annotations
