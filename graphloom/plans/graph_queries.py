@@ -287,7 +287,15 @@ def impact_score(spark: SparkSession, sf: str) -> DataFrame:
     return _impact_scores(spark, sf, edges, none).drop("betweenness_norm")
 
 
-@query()
+#: Shortest paths between all members by rising length, at most 12, and what passes through each node.
+_BETWEEN = f"""n AS MATERIALIZED (SELECT DISTINCT src, dst FROM rev WHERE src <> dst), d0 AS (SELECT id AS s, id AS v, 0 AS d, 1::DOUBLE AS k FROM members),
+ {', '.join(f"d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT s, dst, {i}, sum(k) FROM d{i - 1} JOIN n ON src = v WHERE d = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} o WHERE o.s = d{i - 1}.s AND o.v = dst) GROUP BY s, dst)" for i in range(1, 13))},
+ b AS (SELECT x.v AS id, sum(x.k * y.k / z.k) AS score FROM d12 x JOIN d12 y ON y.s = x.v JOIN d12 z ON z.s = x.s AND z.v = y.v WHERE x.d > 0 AND y.d > 0 AND z.d = x.d + y.d GROUP BY x.v)"""
+
+
+@query(f"""{_ppr_sql()}, {_BETWEEN}, x AS (SELECT min(score) AS a, max(score) AS b FROM p{algos.ROUNDS}), bt AS (SELECT id, coalesce(score, 0) AS score FROM members LEFT JOIN b USING (id)), y AS (SELECT min(score) AS a, max(score) AS b FROM bt),
+ t AS (SELECT bfs.id AS node_id, hop, edge_type, coalesce((p.score - x.a) / nullif(x.b - x.a, 0), 0) AS pn, coalesce((bt.score - y.a) / nullif(y.b - y.a, 0), 0) AS bn FROM bfs LEFT JOIN p{algos.ROUNDS} p ON p.id = bfs.id LEFT JOIN bt ON bt.id = bfs.id, x, y)
+ SELECT node_id, CAST(hop AS INTEGER) AS hop, edge_type, round(pn, 8) AS ppr_norm, round(bn, 8) AS betweenness_norm, round(0.5 * pn + 0.3::DOUBLE / hop + 0.2 * bn, 8) AS impact_score, {_KIND} AS impact_kind FROM t""")
 def impact_score_full(spark: SparkSession, sf: str) -> DataFrame:
     """The whole impact score: proximity, PageRank and exact betweenness."""
     edges = cut(_code_impact_edges(spark, sf))
@@ -301,10 +309,7 @@ def _impact_scores(spark: SparkSession, sf: str, edges: DataFrame, between: Data
     return scores.select("node_id", "hop", "edge_type", *(F.round(c, 8).alias(c) for c in ("ppr_norm", "betweenness_norm", "impact_score")), impact_kind(F.col("edge_type")).alias("impact_kind"))
 
 
-@query(f"""{_ppr_sql().split(', p0 AS (')[0]}, n AS MATERIALIZED (SELECT DISTINCT src, dst FROM rev WHERE src <> dst), d0 AS (SELECT id AS s, id AS v, 0 AS d, 1::DOUBLE AS k FROM members),
- {', '.join(f"d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT s, dst, {i}, sum(k) FROM d{i - 1} JOIN n ON src = v WHERE d = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} o WHERE o.s = d{i - 1}.s AND o.v = dst) GROUP BY s, dst)" for i in range(1, 13))},
- b AS (SELECT x.v AS id, sum(x.k * y.k / z.k) AS score FROM d12 x JOIN d12 y ON y.s = x.v JOIN d12 z ON z.s = x.s AND z.v = y.v WHERE x.d > 0 AND y.d > 0 AND z.d = x.d + y.d GROUP BY x.v)
- SELECT id, round(coalesce(score, 0), 6) AS score FROM members LEFT JOIN b USING (id)""")
+@query(f"{_ppr_sql().split(', p0 AS (')[0]}, {_BETWEEN} SELECT id, round(coalesce(score, 0), 6) AS score FROM members LEFT JOIN b USING (id)")
 def betweenness_scores(spark: SparkSession, sf: str) -> DataFrame:
     return algos.betweenness(_code_impact_edges(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
