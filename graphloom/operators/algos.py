@@ -1,13 +1,11 @@
 """Graph measures and the impact score.
 
-Personalised PageRank runs as joins and aggregations over the whole edge table. Betweenness and communities are
-defined on a bounded subgraph (at most MAX_EDGES edges, checked); betweenness spreads its source nodes over all tasks.
+Personalised PageRank and betweenness run as joins and aggregations. Communities are defined on a bounded subgraph (at
+most MAX_EDGES edges, checked) and found in one process.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from graphloom.sources.tables import cut, cut_counted
 # Rounds and damping of PageRank, weights of the impact score.
 ROUNDS, DAMPING = 20, 0.85
 WEIGHTS = {"ppr": 0.5, "proximity": 0.3, "betweenness": 0.2}
-#: Bound of the subgraphs that travel to every task or to one.
+#: Bound of the subgraphs whose communities are found.
 MAX_EDGES = 500_000
 #: Rounds between lineage cuts.
 CUT_EVERY = 5
@@ -73,9 +71,9 @@ def _bounded(edges: DataFrame) -> list:
 
 
 def estimate(edges: DataFrame) -> DataFrame:
-    """One row before a job on edges (src, dst): n_nodes, n_edges, distributed_bytes (PageRank), driver_bytes (betweenness, communities), fits.
+    """One row before a job on edges (src, dst): n_nodes, n_edges, distributed_bytes (PageRank), driver_bytes (communities), fits.
 
-    fits tells whether the measures that need a bounded subgraph will take it. Bytes are those of ids, scores and lists.
+    fits tells whether communities, which need a bounded subgraph, will take it. Bytes are those of ids, scores and lists.
     """
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     nodes = ids.distinct().agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.octet_length("id") + 16).alias("id_bytes"))
@@ -87,50 +85,37 @@ def estimate(edges: DataFrame) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, samples: int = 0) -> DataFrame:
-    """id, score: how often shortest directed paths pass the node (Brandes), from every source or from samples of them, drawn by hash."""
-    pairs = _bounded(edges)
-    spark = edges.sparkSession
-    ids = sorted({x for p in pairs for x in p})
-    place = {x: i for i, x in enumerate(ids)}
-    out: list[list[int]] = [[] for _ in ids]
-    for a, b in sorted(pairs):
-        out[place[a]].append(place[b])
-    sources = list(range(len(ids))) if samples <= 0 else [place[r["id"]] for r in _sources(edges, samples).collect()]
-    sent = spark.sparkContext.broadcast((ids, out))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names, adjacent = sent.value
-        score: dict[int, float] = {}
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                order, before = [], {s: []}
-                paths, far = {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in adjacent[v]:
-                        if w not in far:
-                            far[w] = far[v] + 1
-                            before[w], paths[w] = [], 0.0
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                passed = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        passed[v] += paths[v] / paths[w] * (1 + passed[w])
-                    if w != s and passed[w]:
-                        score[w] = score.get(w, 0.0) + passed[w]
-        if score:
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in score]), pa.array(list(score.values()))], names=["id", "part"])
-
-    parts = max(1, min(len(sources) // 50, spark.sparkContext.defaultParallelism * 4))
-    partial = spark.createDataFrame([(s,) for s in sources], "source bigint").repartition(parts).mapInArrow(run, "id string, part double")
+    """id, score: how often shortest directed paths pass the node (Brandes), from every source or from samples of them, drawn by hash.
+
+    All sources advance together, a level of path lengths at a time: forward, the numbers of shortest paths to every
+    node met; backward, what of the paths beyond a node passes through it. Rows are (source, node) pairs, so no node,
+    however many edges it has, is one task's work alone. Loops and repeated edges count for nothing.
+    """
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return nodes.join(partial.groupBy("id").agg(F.sum("part").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    links = edges.select("src", "dst").where("src <> dst").distinct().repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        level, rows = cut_counted(_sources(edges, samples).select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))
+        levels, known = [level], level.select("source", "node")
+        while rows:
+            met = level.join(links, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            level, rows = cut_counted(met.join(known, ["source", "node"], "left_anti"))
+            levels.append(level)
+            known = known.unionByName(level.select("source", "node"))
+        passed, beyond = None, levels.pop().select("source", "node", "paths", F.lit(0.0).alias("passed"))
+        while len(levels) > 1:
+            # sources themselves, the first level, are the ends of their paths
+            near = levels.pop()
+            far = beyond.select("source", F.col("node").alias("dst"), ((1 + F.col("passed")) / F.col("paths")).alias("share"))
+            through = near.join(links, F.col("node") == F.col("src")).join(far, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("paths") * F.col("share")).alias("passed"))
+            beyond = cut(near.join(through, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("passed", F.lit(0.0)).alias("passed")))
+            own = beyond.where("passed > 0").groupBy("node").agg(F.sum("passed").alias("score"))
+            passed = own if passed is None else passed.unionByName(own)
+    finally:
+        links.unpersist()
+    if passed is None:
+        return nodes.select("id", F.lit(0.0).alias("score"))
+    total = passed.groupBy(F.col("node").alias("id")).agg(F.sum("score").alias("score"))
+    return nodes.join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def detect_communities(pairs: list[tuple[str, str]]) -> dict[str, str]:
