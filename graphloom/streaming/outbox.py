@@ -1,15 +1,18 @@
 """The outbox as a stream: deliveries folded into a state table, batch by batch.
 
-The state after batch n is written to its own folder from the state before and the batch, so that a repeated batch
-writes the same folder again and nothing is applied twice; the fold itself absorbs repeated and late changes. Accepted
-rows also go to one folder per aggregate type, the others to a reject folder with their outcome.
+The state lies in hash buckets of its keys. A batch reads the buckets that its changes touch, folds them in, and writes
+these buckets anew into its own folder, with a note of which they are; the state is the newest version of each bucket.
+So a batch costs what it touches, a repeated batch writes the same folder again and nothing is applied twice; the fold
+itself absorbs repeated and late changes. Accepted rows also go to one folder per aggregate type, the others to a reject
+folder with their outcome.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_uuid
@@ -18,40 +21,47 @@ from graphloom.operators.changes import fold_changes
 from graphloom.sources.tables import ensure_checkpoint_dir, table_path
 
 SEQUENCE, PAYLOAD = ["created_at", "tx_order"], ["event_id", "aggregate_type", "payload"]
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+#: Buckets of a state; fixed for its life.
+BUCKETS = 64
 
 
 def outbox_stream(spark: SparkSession, directory: str, files_per_batch: int = 1) -> DataFrame:
     """The outbox table as a stream of its files, of a folder or the single file of that name."""
     path = table_path(directory, "outbox")
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", "outbox.parquet").parquet(directory)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern that fits the path alone: streams take no single file otherwise
+
 
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-def state_at(spark: SparkSession, target: str, batch: int | None = None) -> DataFrame | None:
-    """The state after the batch (default: the last one finished)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{target}/state")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+
+def state_at(spark: SparkSession, target: str, batch: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The state after the batch (default: the last one finished), of all buckets or some; None if there is none."""
+    try:
+        notes = spark.read.schema("bucket int, batch bigint").parquet(f"{target}/notes/*")
+    except AnalysisException:  # no batch is finished
         return None
-    done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [n for n in done if batch is None or n <= batch]
-    return spark.read.parquet(f"{target}/state/batch={done[-1]}") if done else None
+    notes = notes if batch is None else notes.where(F.col("batch") <= batch)
+    notes = notes if buckets is None else notes.where(F.col("bucket").isin(buckets))
+    newest = notes.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # at most BUCKETS rows
+    return spark.read.parquet(*(f"{target}/state/batch={r['batch']}/bucket={r['bucket']}" for r in newest)) if newest else None
 
 
 def apply_batch(batch: DataFrame, batch_id: int, target: str) -> None:
+    """Routes the batch and folds it into the state. Batches before it must be finished; batches without changes leave the state."""
     spark = batch.sparkSession
     rows = routed(batch.withColumn("event_id", canonical_uuid(F.col("id"))))
     rows.where("outcome = 'accepted' OR outcome = 'bad_payload'").write.mode("overwrite").partitionBy("aggregate_type").parquet(f"{target}/routed/batch={batch_id}")
     rows.where("outcome NOT IN ('accepted', 'bad_payload')").write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
-    before = state_at(spark, target, batch_id - 1)
-    fold_changes(rows, "aggregate_id", SEQUENCE, "event_type", PAYLOAD, before).write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
+    touched = [r[0] for r in rows.where("aggregate_id IS NOT NULL").select(_bucket(F.col("aggregate_id"))).distinct().collect()]
+    before = state_at(spark, target, batch_id - 1, touched)
+    folded = fold_changes(rows, "aggregate_id", SEQUENCE, "event_type", PAYLOAD, before).withColumn("bucket", _bucket(F.col("aggregate_id")))
+    path = f"{target}/state/batch={batch_id}"
+    folded.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # buckets of which the batch had no valid change, and that had no state, were not written
+    written = spark.read.schema("aggregate_id string, bucket int").parquet(path).select("bucket").distinct()
+    written.select("bucket", F.lit(batch_id).cast("bigint").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{target}/notes/batch={batch_id}")
 
 
 def run_outbox(spark: SparkSession, directory: str, target: str, files_per_batch: int = 1) -> DataFrame:
@@ -67,7 +77,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def deduplicated_stream(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """One row per message id, remembered for the delay of event time; rows without aggregate_id or id fall out."""
+def deduplicated_stream(stream: DataFrame, delay: str | None = None) -> DataFrame:
+    """One row per message id; rows without aggregate_id or id fall out.
+
+    Without a delay all ids are remembered and no message is lost, however late. With a delay of event time only ids of
+    that time are: the memory is bounded, but rows that come later than it behind the newest are dropped, first
+    deliveries among them.
+    """
     rows = stream.where("aggregate_id IS NOT NULL AND id IS NOT NULL").withColumn("message_id", canonical_uuid(F.col("id")))
-    return rows.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["message_id"])
+    return rows.dropDuplicates(["message_id"]) if delay is None else rows.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["message_id"])

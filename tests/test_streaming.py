@@ -43,6 +43,16 @@ def test_streaming_dedup(spark, tmp_path):
     assert spark.table("seen_messages").count() == want
 
 
+def test_no_first_delivery_is_lost_however_late(spark, tmp_path):
+    for n, day in enumerate(("2026-03-01", "2026-01-01", "2026-02-01")):
+        ids = [f"{n}0000000-0000-0000-0000-000000000000", "f0000000-0000-0000-0000-000000000000"]
+        spark.createDataFrame([(x, "a") for x in ids], "id string, aggregate_id string").withColumn("created_at", F.lit(day).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, aggregate_id string, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = deduplicated_stream(stream).writeStream.format("memory").queryName("all_firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert spark.table("all_firsts").count() == 4
+
+
 def test_files(spark, rows, tmp_path):
     (tmp_path / "in" / "d").mkdir(parents=True)
     (tmp_path / "in" / "d" / "a.go").write_text("package a\n")
