@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from graphloom.operators.changes import fold_changes
 from graphloom.sources.tables import ensure_checkpoint_dir, table_path
 
 SEQUENCE, PAYLOAD = ["created_at", "tx_order"], ["event_id", "aggregate_type", "payload"]
-#: Buckets of a state; fixed for its life.
-BUCKETS = 64
+#: Buckets of a state; fixed for its life. More of them let a batch touch less of a large state.
+BUCKETS = 16
 
 
 def outbox_stream(spark: SparkSession, directory: str, files_per_batch: int = 1) -> DataFrame:
@@ -51,17 +52,21 @@ def state_at(spark: SparkSession, target: str, batch: int | None = None, buckets
 def apply_batch(batch: DataFrame, batch_id: int, target: str) -> None:
     """Routes the batch and folds it into the state. Batches before it must be finished; batches without changes leave the state."""
     spark = batch.sparkSession
-    rows = routed(batch.withColumn("event_id", canonical_uuid(F.col("id"))))
-    rows.where("outcome = 'accepted' OR outcome = 'bad_payload'").write.mode("overwrite").partitionBy("aggregate_type").parquet(f"{target}/routed/batch={batch_id}")
-    rows.where("outcome NOT IN ('accepted', 'bad_payload')").write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
-    touched = [r[0] for r in rows.where("aggregate_id IS NOT NULL").select(_bucket(F.col("aggregate_id"))).distinct().collect()]
-    before = state_at(spark, target, batch_id - 1, touched)
-    folded = fold_changes(rows, "aggregate_id", SEQUENCE, "event_type", PAYLOAD, before).withColumn("bucket", _bucket(F.col("aggregate_id")))
-    path = f"{target}/state/batch={batch_id}"
-    folded.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    # buckets of which the batch had no valid change, and that had no state, were not written
-    written = spark.read.schema("aggregate_id string, bucket int").parquet(path).select("bucket").distinct()
-    written.select("bucket", F.lit(batch_id).cast("bigint").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{target}/notes/batch={batch_id}")
+    rows = routed(batch.withColumn("event_id", canonical_uuid(F.col("id")))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        good = F.col("outcome").isin("accepted", "bad_payload")
+        rows.where(good).write.mode("overwrite").partitionBy("aggregate_type").parquet(f"{target}/routed/batch={batch_id}")
+        rows.where(~good).write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
+        bucket = _bucket(F.col("aggregate_id"))
+        touched = [r[0] for r in rows.where("aggregate_id IS NOT NULL").select(bucket).distinct().collect()] if batch_id else None
+        before = state_at(spark, target, batch_id - 1, touched) if batch_id else None
+        path = f"{target}/state/batch={batch_id}"
+        fold_changes(rows, "aggregate_id", SEQUENCE, "event_type", PAYLOAD, before).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # a bucket of which the batch had no valid change, and that had no state, was not written
+        written = spark.read.schema("aggregate_id string, bucket int").parquet(path).select("bucket").distinct()
+        written.select("bucket", F.lit(batch_id).cast("bigint").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{target}/notes/batch={batch_id}")
+    finally:
+        rows.unpersist()
 
 
 def run_outbox(spark: SparkSession, directory: str, target: str, files_per_batch: int = 1) -> DataFrame:
