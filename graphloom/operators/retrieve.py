@@ -201,8 +201,10 @@ def hybrid_search(nodes: DataFrame, relations: DataFrame, points: DataFrame, que
     else:
         seen = points if repo is None else points.where(F.col("repo") == repo)
         vector = vector_search(seen, query, domain, vector_limit)
-    top = recheck(boost_proximity(rrf_fuse(graph, vector), beta), nodes).orderBy(F.desc("combined_score"), "node_id").limit(top_k)
-    named = hydrate_names(top, nodes)
+    # the legs have at most graph_limit and vector_limit rows, so that one scan of the nodes checks and names them
+    fused = F.broadcast(boost_proximity(rrf_fuse(graph, vector), beta))
+    seen = nodes.select(F.col("id").alias("node_id"), F.col("name").alias("stored")).join(fused, "node_id")
+    named = seen.withColumn("name", F.coalesce(F.when(F.col("name") != "", F.col("name")), "stored")).drop("stored").orderBy(F.desc("combined_score"), "node_id").limit(top_k)
     if chunks is not None:
         named = named.join(source_texts(chunks, named.select(F.col("node_id").alias("entity_id"))).withColumnRenamed("entity_id", "node_id"), "node_id", "left")
     return named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("combined_score"), "node_id")))
@@ -230,13 +232,17 @@ def digest_score(query: str, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967295.0
 
 
-def current_impact(nodes: DataFrame, scores: DataFrame, partitions: DataFrame) -> DataFrame:
+def current_impact(nodes: DataFrame, scores: DataFrame, partitions: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """node_id, impact_norm: scores that were written under the node's present partition and its present generation.
 
     scores: node_id, tenant_id, repo, acl_group, generation, impact_score. partitions: tenant_id, repo, acl_group,
-    generation. Others count as never written.
+    generation. Others count as never written. only: the few candidates (node_id) that are asked for, as a top-k left
+    them; they are broadcast.
     """
     where = ["tenant_id", "repo", "acl_group"]
+    if only is not None:
+        wanted = F.broadcast(only.select("node_id").distinct())
+        nodes, scores = nodes.join(wanted, F.col("id") == F.col("node_id"), "left_semi"), scores.join(wanted, "node_id", "left_semi")
     now = nodes.select(F.col("id").alias("node_id"), *where).join(partitions.select(*where, "generation"), where)
     return now.join(scores, ["node_id", *where, "generation"]).select("node_id", F.col("impact_score").alias("impact_norm"))
 

@@ -412,11 +412,12 @@ _RERANK = f"""{_FUSED}, top AS (SELECT * FROM boosted ORDER BY combined_score DE
 def _reranked(spark: SparkSession, sf: str, top_k: int = 10) -> DataFrame:
     graph = _seen(spark, sf)
     found = retrieve.hybrid_search(graph.nodes, graph.relations, _points(spark, sf), _vector_of(spark, sf), SEED).drop("rank")
+    found = cut(found)
     where = ["tenant_id", "repo", "acl_group"]
     partitions = graph.nodes.select(*where).distinct().withColumn("generation", F.lit(3))
     stale = F.length("name") % 3 == 0  # these were written under an older generation
     scores = graph.nodes.select(F.col("id").alias("node_id"), *where, F.when(stale, 2).otherwise(3).alias("generation"), ((F.length("name") % 10) / 10.0).alias("impact_score"))
-    return retrieve.rerank("who calls", found, retrieve.current_impact(graph.nodes, scores, partitions), top_k)
+    return retrieve.rerank("who calls", found, retrieve.current_impact(graph.nodes, scores, partitions, found), top_k)
 
 
 @query(f"{_RERANK} SELECT node_id, round(rerank_score, 9) AS rerank_score, impact_norm, round(final_score, 9) AS final_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
