@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +14,14 @@ ENTITY = "qualified string, kind string, name string, ast_hash string, doc_hash
 PARSED = f"path string, error string, entities array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in ENTITY.split(', '))}>>, relations array<struct<from_name: string, rel_type: string, to_name: string, weight: int>>, unresolved array<struct<caller: string, callee: string, weight: int>>, imports array<struct<local: string, imported: string, specifier: string>>, chunks array<struct<qualified: string, chunk_index: int, text: string, char_count: int>>"
 
 
-def parse_files(files: DataFrame, budget: int = 1500) -> DataFrame:
+PARTS = ("entities", "relations", "unresolved", "imports", "chunks")
+
+
+def parse_files(files: DataFrame, budget: int = 1500, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """One row per file (path, source) with its parts as arrays; error instead of parts for a file that can't be read.
 
     Files are independent, so this is one pass without a shuffle. Null sources are an error, empty ones a bare File.
+    Parts that aren't asked for are empty and cost nothing.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -34,10 +39,13 @@ def parse_files(files: DataFrame, budget: int = 1500) -> DataFrame:
                 except ValueError as e:
                     rows.append((path, str(e), [], [], [], [], []))
                     continue
-                line = lambda at, s=source: s.count("\n", 0, at) + 1
-                entities = [(q, k, n, parsing.merkle_hash(source[a:b]), parsing.doc_hash(source, a) if k != "File" else None, line(a), line(max(b - 1, a))) for q, k, n, a, b in got["entities"]]
-                chunks = [(q, i, text, size) for q, k, _, a, b in got["entities"] if k != "File" for i, (text, size) in enumerate(parsing.chunk_tree(source, a, b, budget))]
-                rows.append((path, None, entities, got["relations"], got["unresolved"], got["imports"], chunks))
+                if "entities" in parts:
+                    all_tokens, breaks = parsing.tokens(source), [i for i, c in enumerate(source) if c == "\n"]
+                    line = lambda at, breaks=breaks: bisect_left(breaks, at) + 1
+                    got["entities_out"] = [(q, k, n, parsing.merkle_hash(source[a:b]), parsing.doc_hash(source, a, all_tokens) if k != "File" else None, line(a), line(max(b - 1, a))) for q, k, n, a, b in got["entities"]]
+                if "chunks" in parts:
+                    got["chunks"] = [(q, i, text, size) for q, k, _, a, b in got["entities"] if k != "File" for i, (text, size) in enumerate(parsing.chunk_tree(source, a, b, budget))]
+                rows.append((path, None, *(got.get("entities_out" if x == "entities" else x, []) if x in parts else [] for x in PARTS)))
             frame = pd.DataFrame(rows, columns=["path", "error", "entities", "relations", "unresolved", "imports", "chunks"])
             names = {"entities": [c.split()[0] for c in ENTITY.split(", ")], "relations": ["from_name", "rel_type", "to_name", "weight"], "unresolved": ["caller", "callee", "weight"], "imports": ["local", "imported", "specifier"], "chunks": ["qualified", "chunk_index", "text", "char_count"]}
             for column, fields in names.items():

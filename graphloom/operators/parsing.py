@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -286,18 +286,15 @@ def merkle_hash(source: str) -> str:
     return hashlib.sha256(("file" + "".join(stack[0][1])).encode()).hexdigest()
 
 
-def doc_hash(source: str, start: int) -> str | None:
-    """SHA-256 of the comments directly above the offset, without a blank line between; None if there are none."""
-    before = [t for t in tokens(source[:start])]
-    end = start
-    first = None
-    while before and before[-1].kind == "comment" and source[before[-1].end : end].count("\n") <= 1 and not source[before[-1].end : end].strip():
-        first = before.pop()
-        end = first.start
-    if first is None:
-        return None
-    last = [t for t in tokens(source[:start]) if t.kind == "comment"][-1]
-    return hashlib.sha256(source[first.start : last.end].encode()).hexdigest()
+def doc_hash(source: str, start: int, ts: list[Token] | None = None) -> str | None:
+    """SHA-256 of the comments directly above the offset, without a blank line between; None if there are none. ts: the tokens of source, if known."""
+    ts = tokens(source) if ts is None else ts
+    last = bisect_left(ts, start, key=lambda t: t.start) - 1
+    first, end = last + 1, start
+    while first and ts[first - 1].kind == "comment" and source.count("\n", ts[first - 1].end, end) <= 1:
+        first -= 1
+        end = ts[first].start
+    return hashlib.sha256(source[ts[first].start : ts[last].end].encode()).hexdigest() if first <= last else None
 
 
 def syntax_ok(language: str, source: str) -> bool:

@@ -295,17 +295,17 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def extracted_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.entities(extract.parse_files(_files(spark, sf)))
+    return extract.entities(extract.parse_files(_files(spark, sf), parts=("entities",)))
 
 
 @query()
 def extracted_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.relations(extract.parse_files(_files(spark, sf)))
+    return extract.relations(extract.parse_files(_files(spark, sf), parts=("relations",)))
 
 
 @query()
 def extracted_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.chunks(extract.parse_files(_files(spark, sf)))
+    return extract.chunks(extract.parse_files(_files(spark, sf), parts=("chunks",)))
 
 
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
