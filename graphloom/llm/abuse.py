@@ -27,9 +27,9 @@ from graphloom.llm.sample import bounded_sample
 MAX_LABELS = 20_000
 FOLDS, THRESHOLD = 5, 0.5
 #: A learned word's log-odds are those of its documents and PRIOR_DOCS more at the average rate, less DOUBT standard errors;
-#: words of fewer than LEAST_DOCS documents aren't kept. Calibrated blocks likewise count PRIOR_BLOCK documents at the
+#: words of fewer than LEAST_DOCS documents, or with less than LEAST_ODDS left, tell nothing and aren't kept. Calibrated blocks likewise count PRIOR_BLOCK documents at the
 #: trees' own probability.
-PRIOR_DOCS, LEAST_DOCS, DOUBT, PRIOR_BLOCK = 6.0, 3.0, 1.0, 5.0
+PRIOR_DOCS, LEAST_DOCS, DOUBT, LEAST_ODDS, PRIOR_BLOCK = 6.0, 3.0, 1.0, 0.5, 5.0
 
 KINDS = ("insult", "sharp", "harm", "sexual", "group", "shun")
 FEATURES = ("insult insult_near_you insult_plain sharp sharp_near_you harm harm_near_you harm_plain sexual sexual_near_person sexual_plain group shun group_and_shun shun_near_person pointed lists "
@@ -287,7 +287,7 @@ def log_odds(counts: dict, rate: float) -> dict:
             bad, n = bad + PRIOR_DOCS * rate, n + PRIOR_DOCS
             odds = math.log(bad / (n - bad)) - average
             doubt = DOUBT * math.sqrt(1 / bad + 1 / (n - bad))
-            if abs(odds) > doubt:
+            if abs(odds) > doubt + LEAST_ODDS:
                 out[word] = odds - math.copysign(doubt, odds)
     return out
 
