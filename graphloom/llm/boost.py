@@ -6,7 +6,7 @@ import numpy as np
 
 TREES, PATIENCE, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 120, 15, 4, 0.1, 32, 3.0, 1.0
 #: Strength of the ridge of the linear model from which the trees start.
-LINEAR_RIDGE = 100.0
+LINEAR_RIDGE = 30.0
 
 
 class _Binned:
