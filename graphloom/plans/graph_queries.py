@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from graphloom.functions.ids import cache_key, command_fingerprint, parser_id, point_id, scoped_node_id
 from graphloom.functions.vectors import cosine
 from graphloom.operators import algos, retrieve
+from graphloom.operators.agent import Limits, explore
 from graphloom.operators.pack import byte_tokens, citation, deduplicated, pack
 from graphloom.operators.scope import Scope, label_outcome, policy_decision, scoped, scoped_relations
 from graphloom.operators.traverse import directed_edges, get_node, impact_events, impact_kind, impact_levels, neighbors, reach_reverse, relations_exist
 from graphloom.plans.graph_sql import CODE, SCOPED, SEEN, STAR, TYPES, walk
 from graphloom.schema import TRAVERSED, extension_outcome
 from graphloom.sources import cut, read
-from graphloom.sources.graph import Graph, code_graph, code_nodes, star_graph, star_points
+from graphloom.sources.graph import Graph, code_graph, code_nodes, key_id, star_graph, star_points
 
 SCOPE = Scope("t0", "u", ("repo0", "repo1", "repo2"), ("g0", "g1"))
 SEED = "s:1"
@@ -462,6 +463,23 @@ def fulltext_among(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.fulltext_search(nodes, "append context return?", chunks=read(spark, sf, "code_chunk")).withColumn("score", F.round("score", 8))
 
 
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each part type three questions about its last word: who calls it, how it works, and the word itself."""
+    word = F.lower(F.substring_index("p_type", " ", -1))
+    forms = F.array(F.concat(F.lit("who calls "), word, F.lit("?")), F.concat(F.lit("how does "), word, F.lit(" work")), word)
+    words = read(spark, sf, "part").select(word.alias("word"), forms.alias("forms")).distinct()
+    return words.select("word", F.posexplode("forms").alias("form", "query")).select(F.concat_ws("/", "word", F.col("form").cast("string")).alias("query_id"), "query")
+
+
+@query()
+def explored_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """How far questions about parts get in the scoped star graph, within eight steps."""
+    graph = _seen(spark, sf)
+    types = read(spark, sf, "part").select(key_id("p", "p_partkey").alias("id"), F.col("p_type").alias("signature"))
+    nodes = graph.nodes.join(types, "id", "left")
+    return explore(_questions(spark, sf), nodes, graph.relations, Limits(steps=8)).outcomes
+
+
 # --- packing ------------------------------------------------------------------------------------------------------
 
 
